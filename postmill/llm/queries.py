@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from pyspark.sql import functions as F
+
+from .mixing import mix_to_targets
+from .quality import score_quality
 from .records import token_records
 from .tokens import count_tokens
+from .toxicity import score_toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,13 +19,32 @@ def read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_quality(spark, sf_dir):
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_token_records(spark, sf_dir):
     return token_records(read(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_token_records)}
+def domains_of(docs, labels):
+    """(doc_id, domain) of the labelled documents: their language and quality, which their texts show."""
+    joined = docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id")
+    return joined.select("doc_id", F.concat_ws("/", "lang", F.when(F.col("quality") == 1, "high").otherwise("low")).alias("domain"))
+
+
+def op9_mixing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op7_quality, op8_token_records, op9_mixing)}
 SQL: dict[str, str] = {}
