@@ -20,6 +20,8 @@ from .tokens import CACHE, Bpe, PreTokens, loaded, pieces
 #: One line of an index file: the frame's place in the data file, its length, and its number of ids.
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u4")])
 MASK = 0xA282EAD8
+#: First byte of a payload: whether the id is not null, and whether the token ids take 2 bytes each instead of 4.
+HAS_ID, NARROW = 1, 2
 
 
 def masked(data: bytes) -> int:
@@ -46,6 +48,13 @@ def frames(stream):
         yield body[:n]
 
 
+def parsed(payload: bytes) -> tuple[int | None, bytes]:
+    """(id, token ids as u32, little-endian) of a payload."""
+    flags, key = struct.unpack("<Bq", payload[:9])
+    ids = payload[9:]
+    return key if flags & HAS_ID else None, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if flags & NARROW else ids
+
+
 class Encoder:
     """Token ids by the tokenizers library; ids of pre-tokens seen before come from a bounded memory."""
 
@@ -54,6 +63,7 @@ class Encoder:
 
         self.bpe, self.pre, self.library = Bpe(data), PreTokens(), Tokenizer.from_buffer(data)
         self.library.encode_special_tokens = False
+        self.largest = max(self.library.get_vocab().values())
         self.forget()
 
     def forget(self):
@@ -118,8 +128,8 @@ def write_records(docs: DataFrame, tokenizer: str, base: str | None = None, id_c
     Each task sorts one range of ids and writes one data file and one index file under names of its own attempt; only
     files that the manifest names count, so tasks that are lost and run again leave no wrong records. Null or empty texts
     are the end id alone; null ids come first; rows with equal ids are written each, ordered by text; an empty table gives
-    an empty manifest; other columns are ignored. A record's payload is the id as i64 (with a flag byte: 0 for null)
-    and the token ids as u32, little-endian."""
+    an empty manifest; other columns are ignored. A record's payload is a byte of flags, the id as i64
+    and the token ids, as u16 where the vocabulary has at most 65,536 ids and as u32 elsewhere, little-endian."""
     spark = docs.sparkSession
     small_batches(spark)
     base = base or scratch(spark, "records")
@@ -140,11 +150,13 @@ def write_records(docs: DataFrame, tokenizer: str, base: str | None = None, id_c
                         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
                         out = where.open_output_stream(f"{name}.rec")
                     ids, sizes = encoder.encode(piece.column("text_"), end_id)
-                    raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+                    narrow = encoder.largest < 1 << 16 and end_id < 1 << 16
+                    width = 2 if narrow else 4
+                    raw, ends = ids.astype(f"<u{width}").tobytes(), (np.cumsum(sizes) * width).tolist()
                     framed = []
                     for key, a, b in zip(piece.column("id_").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-                        framed.append(frame(struct.pack("<?q", key is not None, key or 0) + raw[a:b]))
-                        lines.append((at, len(framed[-1]), (b - a) // 4))
+                        framed.append(frame(struct.pack("<Bq", HAS_ID * (key is not None) + NARROW * narrow, key or 0) + raw[a:b]))
+                        lines.append((at, len(framed[-1]), (b - a) // width))
                         at += len(framed[-1])
                     out.write(b"".join(framed))
                     n_docs, n_tokens = n_docs + len(sizes), n_tokens + len(ids)
@@ -178,9 +190,8 @@ def read_records(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 with where.open_input_stream(path, buffer_size=1 << 20) as f:
                     rows, size = [], 0
                     for payload in frames(f):
-                        there, key = struct.unpack("<?q", payload[:9])
-                        ids = payload[9:]
-                        rows.append((key if there else None, start, len(ids) // 4, zlib.crc32(ids), ids))
+                        key, ids = parsed(payload)
+                        rows.append((key, start, len(ids) // 4, zlib.crc32(ids), ids))
                         start, size = start + len(ids) // 4, size + len(ids)
                         if size > 4 << 20:
                             yield batch_of(rows)
@@ -204,7 +215,7 @@ def read_record(file: str, k: int) -> np.ndarray:
     with where.open_input_file(f"{path}.rec") as f:
         f.seek(int(line["offset"]))
         payload = next(frames(f))
-    return np.frombuffer(payload[9:], "<u4")
+    return np.frombuffer(parsed(payload)[1], "<u4")
 
 
 def token_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, base: str | None = None) -> DataFrame:
