@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .mixing import mix_to_targets
+from .neardup import near_duplicates
 from .quality import score_quality
 from .records import token_records
 from .tokens import count_tokens
@@ -27,6 +28,10 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_quality(spark, sf_dir):
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,5 +51,21 @@ def op9_mixing(spark, sf_dir):
     return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op7_quality, op8_token_records, op9_mixing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
+#: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+
+SQL: dict[str, str] = {
+    "op6_near_duplicates": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))
+             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS k
+      FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (an + bn - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
+}
