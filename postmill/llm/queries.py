@@ -6,6 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
+from .decontamination import contamination
 from .mixing import mix_to_targets
 from .neardup import near_duplicates
 from .quality import score_quality
@@ -24,6 +25,10 @@ def op1_toxicity(spark, sf_dir):
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -51,11 +56,26 @@ def op9_mixing(spark, sf_dir):
     return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
+_ITEM_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
 SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, len(x) AS k, array_to_string(x, ' ') AS x FROM (
+  SELECT item, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda p: w[p:p+9]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS x FROM i)),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM win),
+places AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, sizes WHERE len(w) >= k),
+hits AS (SELECT doc_id, p, k, item FROM (SELECT doc_id, k, p, array_to_string(w[p:p+k-1], ' ') AS x FROM places) JOIN win USING (k, x)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op6_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))

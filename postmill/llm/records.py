@@ -143,7 +143,7 @@ def write_records(docs: DataFrame, tokenizer: str, base: str | None = None, id_c
         part = TaskContext.get().partitionId()
         try:
             for batch in batches:
-                for piece in slices(batch, "text_"):
+                for piece in slices(batch, "text_", 2 << 20):
                     if out is None:
                         where, root = pafs.FileSystem.from_uri(base)
                         where.create_dir(root, recursive=True)

@@ -209,7 +209,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Rank-synchronous array merging: pre-tokens of a slice of texts are ragged numpy arrays, and each round merges every
     sequence's lowest-ranked pair. Null and empty texts have 0 tokens; a null id stays null; repeated rows are counted
     each; other columns, whatever their names, are ignored; an empty table gives an empty result. No shuffle: one pass
-    over the texts, in slices of about 4 MB (a longer text stands alone)."""
+    over the texts, in slices of about 2 MB (a longer text stands alone)."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer, "rb") as f:
@@ -219,7 +219,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches):
         counter = loaded("count", vocabulary.value, lambda: Counter(vocabulary.value))
         for batch in batches:
-            for part in slices(batch, "text_"):
+            for part in slices(batch, "text_", 2 << 20):
                 _, at = utf8(part.column("text_"))
                 yield pa.RecordBatch.from_arrays([part.column("id_"), pa.array(np.diff(at)), pa.array(counter.count(part.column("text_")))], names=[id_col, "n_bytes", "n_tokens"])
 
