@@ -11,6 +11,7 @@ from .mixing import mix_to_targets
 from .neardup import near_duplicates
 from .quality import score_quality
 from .records import token_records
+from .secret_scan import find_secrets
 from .tokens import count_tokens
 from .toxicity import score_toxicity
 
@@ -33,6 +34,10 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_secrets(spark, sf_dir):
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -56,13 +61,37 @@ def op9_mixing(spark, sf_dir):
     return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
 _ITEM_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
+_RULES = """(VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24), (3, 'owned', '[A-Za-z0-9+_-]{20,}', 0, 20)) r(no, kind, pat, grp, least)"""
+
 SQL: dict[str, str] = {
+    "op4_secrets": f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS (SELECT t.*, no, kind, least,
+  CASE no WHEN 0 THEN regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+') WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+')
+    WHEN 2 THEN regexp_extract_all(t, '[0-9a-f]+') ELSE regexp_extract_all(t, '[A-Za-z0-9+_-]{{20,}}') END AS m,
+  CASE no WHEN 0 THEN regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE NULL END AS v,
+  CASE no WHEN 0 THEN string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+') WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+')
+    WHEN 2 THEN string_split_regex(t, '[0-9a-f]+') ELSE string_split_regex(t, '[A-Za-z0-9+_-]{{20,}}') END AS g FROM t, {_RULES}),
+u AS (SELECT doc_id, source, lang, no, kind, least, unnest(m) AS m, unnest(coalesce(v, m)) AS v, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM m),
+p AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id, no ORDER BY i) - length(m))::INT AS s FROM u),
+x AS (SELECT doc_id, source, lang, no, kind, v, s, s + length(m) AS e FROM p WHERE length(v) >= least),
+c AS (SELECT * FROM x WHERE no < 3 UNION ALL SELECT * FROM x a WHERE no = 3 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
+  AND len(list_distinct(string_split(v, ''))) >= 12 AND NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.no < 3 AND a.s < b.e AND b.s < a.e)),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY v),
+j AS (SELECT * FROM c JOIN o USING (v)),
+a AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3 OR owners = 1) AS spans,
+  count(*) FILTER (owners = 1 AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8) AS n_live, count(*) FILTER (owners >= 3) AS n_examples FROM j GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples FROM t LEFT JOIN a USING (doc_id)""",
     "op2_decontamination": f"""
 WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item, len(x) AS k, array_to_string(x, ' ') AS x FROM (
