@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination
 from .mixing import mix_to_targets
+from .nearest import nearest
 from .neardup import near_duplicates
 from .quality import score_quality
 from .records import token_records
@@ -38,6 +39,10 @@ def op4_secrets(spark, sf_dir):
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -61,7 +66,7 @@ def op9_mixing(spark, sf_dir):
     return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
