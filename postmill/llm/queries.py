@@ -12,6 +12,7 @@ from .nearest import nearest
 from .neardup import near_duplicates
 from .quality import score_quality
 from .records import token_records
+from .repeats import remove_repeats
 from .secret_scan import find_secrets
 from .tokens import count_tokens
 from .toxicity import score_toxicity
@@ -66,7 +67,11 @@ def op9_mixing(spark, sf_dir):
     return mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing)}
+def op10_repeats(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
