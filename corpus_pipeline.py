@@ -1,10 +1,81 @@
-"""The corpus pipeline: STAGES in order over documents."""
+"""The corpus pipeline: STAGES in order over documents, each a written table that the next one reads.
+
+Every stage but the last returns the columns of documents. ``run`` applies them to the documents of a folder.
+
+SQL cannot express the classifiers, the fitted rates and the tokenizer, so ORACLE_SQL is None; the stages are tested
+against brute-force versions instead.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postmill.llm.decontamination import contamination
+from postmill.llm.mixing import mix_to_targets
+from postmill.llm.neardup import near_duplicates
+from postmill.llm.queries import TOKENIZER, domains_of
+from postmill.llm.records import token_records
+from postmill.llm.shared import scratch
+from postmill.llm.toxicity import score_toxicity
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose id (null included) is among the decided ones (doc_id)."""
+    chosen = decided.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def drop(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs but those whose id is among the decided ones (doc_id): the smaller side of a filter that keeps most."""
+    chosen = decided.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go. It learns from the labelled documents of the stage's input."""
+    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
+    return drop(docs, scored.where("predicted = 1"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id. Five-word shingles, similarity 0.8 or more."""
+    found = near_duplicates(docs, width=5, percent=80)
+    return drop(docs, found.where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = contamination(docs, read(spark, sf_dir, "benchmark"))
+    return drop(docs, found.where("contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domains get closer in size (shares to the power 0.9): documents of the smaller ones are repeated as often as their
+    rate says. No document has a rate below 1, so clean ones all stay."""
+    mixed = mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")), temper=0.9, keep_all=True)
+    rates = mixed.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("copies").alias("copies"))
+    rated = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("rated_id")))
+    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids as binary records with an index; the rows are read back from the files."""
+    return token_records(docs, TOKENIZER).drop("ids")
+
+
+STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicate), ("decontamination", decontamination), ("mixing", mixing), ("token records", token_output)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
