@@ -139,16 +139,15 @@ def components(edges: DataFrame) -> DataFrame:
     Union-find as joins: every node takes the least label among its own and its neighbours', then its label's label,
     until nothing changes; labels are written to the shared folder in each round."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp"))
+    labels = written(labels, "labels")
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        hooked = written(hooked, "hooked")
-        up = hooked.select(F.col("node").alias("root"), F.col("comp").alias("upper"))
-        jumped = written(hooked.join(up, F.col("comp") == F.col("root"), "left").select("node", "old", F.least("comp", "upper").alias("comp")), "labels")
-        changed = jumped.where("comp < old").limit(1).count()
-        labels = jumped.select("node", "comp")
-        if not changed:
+        up = labels.select(F.col("node").alias("root"), F.col("comp").alias("upper"))
+        moved = labels.join(near, F.col("node") == F.col("u")).join(up, F.col("comp") == F.col("root"), "left")
+        moved = written(moved.select("node", F.col("comp").alias("old"), F.least("comp", "near", "upper").alias("comp")), "labels")
+        labels = moved.select("node", "comp")
+        if not moved.where("comp < old").limit(1).count():
             return labels
 
 
@@ -156,10 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for every row of ``docs``; similarity is that of the sets of word shingles.
 
     Rows with equal sets are one class, named by its smallest id; classes that share a band are candidates. Within a
-    bucket of candidates no list of all pairs is made: each round compares a few members (pivots) with the members that
-    are not yet in their component, confirms on the full sets, merges components, and drops the pivots; a bucket is done
-    when its remaining members are all connected. So every candidate pair is either compared or already connected, and a
-    group of copies of any size costs a number of comparisons in proportion to its size.
+    bucket of candidates no list of all pairs is made: each round compares a few members (pivots: 1, about 8, 64 ..) with
+    the members that are not yet in their component, confirms on the full sets, merges components, and drops the pivots;
+    a bucket is done when its remaining members are all connected. So every candidate pair is either compared or already
+    connected, and a group of copies of any size costs a number of comparisons in proportion to its size.
 
     Null and empty texts, and texts without words, are linked with nothing. Rows with a null id are their own component
     (null, kept). Rows that share an id are one document, linked through any of their texts; each row is returned.
@@ -173,23 +172,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = found.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).groupBy("id_").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     edges = written(twice.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a < b"), "links")
     comp = components(edges)
-    sets = None
-    count = 1
+    sets, pivots = None, 1
     while True:
         placed = written(members.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-        active = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(count))).where("low < high")
-        active = active.select("bucket", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(count))))).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        active = written(active, "pivots")
-        if not active.limit(1).count():
+        state = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(pivots))).alias("first")).where("low < high")
+        state = written(state.select("bucket", "size", "first"), "state")
+        if not state.limit(1).count():
             break
         if sets is None:
             sets = written(shingle_sets(docs, members.select("node").distinct(), id_col, text_col, width), "sets")
-        pairs = placed.join(active, "bucket").where("comp != pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        links = written(confirmed(pairs, sets, percent), "links")
-        edges = edges.union(links)
+        open_ = written(placed.join(state, "bucket").withColumn("pivot", (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "bucket"), F.col("size")) < pivots - 1)).select("bucket", "node", "comp", "pivot"), "open")
+        chosen = open_.where("pivot").select("bucket", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+        pairs = open_.join(chosen, "bucket").where("comp != other_comp").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        edges = edges.union(written(confirmed(pairs, sets, percent), "links"))
         comp = components(edges)
-        members = written(placed.join(active.select("bucket").distinct(), "bucket").join(active.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "members")
-        count = min(4 * count, 16)
+        members = open_.where("not pivot").select("bucket", "node")
+        pivots *= 8
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("component"))
     out = rows.join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id_"))
