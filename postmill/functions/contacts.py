@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize_whitespace, trim_control
+from .text import filled, let, normalize_whitespace, trim_control
 
 # Fixed values.
 PHONE = r"(?iu)(?:\+?\d[\d \t()\-]{6,}\d)"
@@ -22,10 +22,12 @@ def phone_digits(c: Column) -> Column:
 
 def normalize_phone(c: Column) -> Column:
     """Digits, with + where there was one or where a full number with country code stands; null below 7 digits."""
-    plain = normalize_whitespace(c)
-    digits = phone_digits(plain)
-    full = plain.startswith("+") | (digits.startswith("998") & (F.length(digits) == 12))
-    return F.when(F.length(digits) < 7, F.lit(None)).when(full, F.concat(F.lit("+"), digits)).otherwise(digits)
+
+    def canonical(plain: Column) -> Column:
+        full = lambda d: plain.startswith("+") | (d.startswith("998") & (F.length(d) == 12))
+        return let(phone_digits(plain), lambda d: F.when(F.length(d) < 7, F.lit(None)).when(full(d), F.concat(F.lit("+"), d)).otherwise(d))
+
+    return let(normalize_whitespace(c), canonical)
 
 
 def normalize_link(c: Column) -> Column:
@@ -33,8 +35,8 @@ def normalize_link(c: Column) -> Column:
     out = F.regexp_replace(trim_control(c), "^<", "")
     for end in (">$", r"\)$", r"\]$", r"[.,;:!?]+$"):
         out = F.regexp_replace(out, end, "")
-    out = F.when(F.lower(out).startswith("t.me/"), F.concat(F.lit("https://"), out)).otherwise(out)
-    return F.when(out.startswith("http://") | out.startswith("https://"), out)
+    scheme = lambda x: F.when(F.lower(x).startswith("t.me/"), F.concat(F.lit("https://"), x)).when(x.startswith("http://") | x.startswith("https://"), x)
+    return let(out, scheme)
 
 
 def found(c: Column, pattern: str, group: int, each=lambda x: x) -> Column:
@@ -59,7 +61,7 @@ def uzbek_phones(c: Column) -> Column:
 
 def source_handle(url: Column) -> Column:
     """The channel name of a message link, or null."""
-    return F.nullif(F.regexp_extract(url, SOURCE_URL, 1), F.lit(""))
+    return filled(F.regexp_extract(url, SOURCE_URL, 1))
 
 
 def own_names(source: Column, url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .contacts import normalize_link
-from .text import clean_content_line, let, normalize_whitespace, strip_decorations
+from .text import clean_content_line, filled, let, normalize_whitespace, strip_decorations
 
 # What makes a line ignorable.
 SEPARATOR = r"^\s*[-=_~]{3,}\s*$"
@@ -25,12 +25,12 @@ def nonempty(lines: Column) -> Column:
 
 def compact(lines: Column, separator: str = " ") -> Column:
     """Cleaned lines as one; null if none is left."""
-    return F.nullif(normalize_whitespace(F.array_join(nonempty(F.transform(lines, clean_content_line)), separator)), F.lit(""))
+    return filled(normalize_whitespace(F.array_join(nonempty(F.transform(lines, clean_content_line)), separator)))
 
 
 def multiline(lines: Column) -> Column:
     """Distinct cleaned lines, one below the other; null if none is left."""
-    return F.nullif(F.array_join(F.array_distinct(nonempty(F.transform(lines, clean_content_line))), "\n"), F.lit(""))
+    return filled(F.array_join(F.array_distinct(nonempty(F.transform(lines, clean_content_line))), "\n"))
 
 
 def merge_multiline(a: Column, b: Column) -> Column:
@@ -73,10 +73,9 @@ def trim_edges(a: Column, test) -> Column:
 
 def is_ignorable(line: Column, own: Column, message_url: Column) -> Column:
     """Blank, separator, hashtag, own name, own link or without any letter or digit."""
-    plain = strip_decorations(line)
-    here = F.coalesce(normalize_link(message_url), message_url)
-    return (
-        (line == "") | line.rlike(SEPARATOR) | plain.rlike(HASHTAG)
-        | F.array_contains(own, F.regexp_replace(F.lower(plain), "^@", ""))
-        | F.coalesce(normalize_link(line) == here, F.lit(False)) | ~plain.rlike(r"[\p{L}\p{Nd}]")
-    )
+    own_link = F.contains(line, F.lit("t")) & F.coalesce(normalize_link(line) == F.coalesce(normalize_link(message_url), message_url), F.lit(False))
+
+    def empty(plain: Column) -> Column:
+        return plain.rlike(HASHTAG) | ~plain.rlike(r"[\p{L}\p{Nd}]") | F.array_contains(own, F.regexp_replace(F.lower(plain), "^@", ""))
+
+    return (line == "") | line.rlike(SEPARATOR) | let(strip_decorations(line), empty) | own_link

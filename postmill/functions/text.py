@@ -18,6 +18,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def filled(c: Column) -> Column:
+    """The text, or null where it is empty; computed once."""
+    return let(c, lambda x: F.when(x != "", x))
+
+
 def trim_control(c: Column) -> Column:
     """Strips all characters up to U+0020 at both ends, as a JVM trim does."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -25,8 +30,7 @@ def trim_control(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     """Null where nothing but white space is left."""
-    trimmed = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    return F.nullif(trimmed, F.lit(""))
+    return filled(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def normalize_key(c: Column) -> Column:
@@ -72,11 +76,17 @@ def sentence_case(c: Column) -> Column:
 
 def repair_mixed_label(c: Column) -> Column:
     """Latin look-alikes in a mostly Cyrillic label (what stands before the first delimiter) become Cyrillic."""
-    label = F.regexp_extract(c, r"^([^:\-–—]*)", 1)
-    rest = F.substring(c, F.length(label) + 1, F.length(c))
-    cyrillic = F.length(F.regexp_replace(label, r"[^Ѐ-ӿ]", ""))
-    latin = F.length(F.regexp_replace(label, r"[^A-Za-z]", ""))
-    return F.when((cyrillic > latin) & (latin > 0), F.concat(F.translate(label, LOOKALIKE_LATIN, LOOKALIKE_CYRILLIC), rest)).otherwise(c)
+
+    def repaired(x: Column) -> Column:
+        label = F.regexp_extract(x, r"^([^:\-–—]*)", 1)
+        return F.concat(F.translate(label, LOOKALIKE_LATIN, LOOKALIKE_CYRILLIC), F.substring(x, F.length(label) + 1, F.length(x)))
+
+    def mixed(x: Column) -> Column:
+        label = F.regexp_extract(x, r"^([^:\-–—]*)", 1)
+        cyrillic, latin = F.length(F.regexp_replace(label, r"[^Ѐ-ӿ]", "")), F.length(F.regexp_replace(label, r"[^A-Za-z]", ""))
+        return (latin > 0) & (cyrillic > latin)
+
+    return let(c, lambda x: F.when(x.rlike(r"[Ѐ-ӿ]") & mixed(x), repaired(x)).otherwise(x))
 
 
 def strip_html(c: Column) -> Column:
