@@ -13,7 +13,7 @@ from .shared import U64, mix, slices, small_batches, stream, utf8, written
 
 #: Bytes of the strings that anchors are chosen by.
 GRAM = 32
-#: Distinct texts around one anchor that one suffix array takes; larger groups go by hashed windows.
+#: Distinct texts around one anchor that one suffix array takes; larger groups are dealt to several.
 GROUP = 256
 #: Bytes that go into one suffix array, about.
 BLOCK = 1 << 18
@@ -177,8 +177,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        Two equal strings hold equal anchors, so only surroundings of anchors with two places or more can repeat.
     3. The surroundings of such an anchor are a group. Equal ones collapse to one with a mark that it has several places;
        a suffix array over the rest (sorted in two stages) and its common prefixes of neighbours give the repeats.
-       Groups with over GROUP different surroundings (hot passages) are not collected: their strings are hashed one by
-       one, counted with partial sums and joined back, which finds the same repeats.
+       Groups with over GROUP different surroundings (hot passages) are dealt to several suffix arrays; strings without
+       a match in their own array are hashed and held against those of the other arrays of all groups with partial
+       sums, which finds the same repeats.
     4. Covered bytes are merged for each class, and each row takes the result of its class.
 
     Null and empty texts have 0 bytes and the hash of nothing. Null ids are kept as they are; rows that repeat an id and
@@ -214,6 +215,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = keyed.join(spots, (F.col("c") == F.col("c2")) & F.col("id_").eqNullSafe(F.col("rep"))).select("c", "text_", "spots")
     texts = written(texts, "texts")
 
+    # the surroundings of each spot, by a hash of their bytes; a place is a number such that equal places are equal and
+    # neighbours differ by their distance
     def surround(batches):
         for batch in batches:
             for part in slices(batch, "text_", 1 << 19):
@@ -223,57 +226,70 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for spot in spots:
                         begin = max(0, spot["pos"] - reach)
                         piece = raw[begin : spot["pos"] + length]
-                        out.append((spot["a"], c, begin, hashlib.blake2b(piece, digest_size=16).digest(), piece))
-                    if len(out) > 4000:
-                        yield batch_of(out)
-                        out = []
-                if out:
-                    yield batch_of(out)
-
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-    batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "c", "begin", "s", "piece"])
-    # a place is a number such that equal places are equal and neighbours differ by their distance
-    where = F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")
-    pieces = texts.mapInArrow(surround, "a long, c binary, begin long, s binary, piece binary")
-    pieces = written(pieces.withColumn("place", where), "pieces")
-    held = pieces.groupBy("a", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"), F.first("piece").alias("piece"))
-    held = written(held.withColumn("several", F.col("place") != F.col("other")), "contents")
-    sizes = held.groupBy("a").agg(F.count("*").alias("texts"))
-    alone = held.join(sizes, "a").where("texts > 1")
-    near = alone.where(F.col("texts") <= GROUP).repartition("a").sortWithinPartitions("a").select("a", "s", "piece", "place", "several")
+                        out.append((spot["a"], hashlib.blake2b(piece, digest_size=16).digest(), c, begin, len(piece)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "s", "c", "begin", "size"])
+
+    pieces = texts.mapInArrow(surround, "a long, s binary, c binary, begin long, size long")
+    pieces = written(pieces.withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")), "pieces")
+    held = pieces.groupBy("a", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"))
+    held = written(held, "contents")
+    sizes = held.groupBy("a").agg(F.count("*").alias("texts")).where("texts > 1")
+    # bytes travel once for each different surrounding that has others to be compared with
+    alone = held.join(sizes, "a").withColumn("parts", F.ceil(F.col("texts") / GROUP)).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
+    chosen = alone.join(pieces.select("a", "s", "c", "begin", "size", F.col("place").alias("here")), ["a", "s"]).where("place = here")
+    chosen = chosen.groupBy("a", "s", "place", "other", "parts", "part").agg(F.min(F.struct("c", "begin", "size")).alias("at"))
+    wanted = chosen.groupBy(F.col("at.c").alias("c3")).agg(F.collect_list(F.struct("a", "s", "place", "other", "parts", "part", F.col("at.begin").alias("begin"), F.col("at.size").alias("size"))).alias("wanted"))
+
+    def cut_out(batches):
+        for batch in batches:
+            for text, wanted in zip(batch.column("text_").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                raw = text.encode()
+                for k in range(0, len(wanted), 2000):
+                    rows = wanted[k : k + 2000]
+                    columns = [[x[n] for x in rows] for n in ("a", "s", "place", "other", "parts", "part")]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)), pa.array([raw[x["begin"] : x["begin"] + x["size"]] for x in rows])], names=["a", "s", "place", "other", "parts", "part", "piece"])
+
+    near = texts.select("c", "text_").join(wanted, F.col("c") == F.col("c3")).select("text_", "wanted")
+    near = near.mapInArrow(cut_out, "a long, s binary, place long, other long, parts long, part long, piece binary")
+    near = near.repartition("a", "part").sortWithinPartitions("a", "part")
+    kinds = pa.schema([("a", pa.int64()), ("s", pa.binary()), ("spans", pa.binary()), ("i", pa.int64()), ("w", pa.binary()), ("found", pa.bool_()), ("place", pa.int64()), ("other", pa.int64())])
 
     def sort_groups(batches):
         def work(todo):
-            a, s, piece, place, several = (list(x) for x in zip(*todo, strict=True))
-            starts = repeated_starts(piece, np.array(place), np.array(several), np.array(a), length)
-            kept = [(x, y, ranges(p, length).astype("<i8").tobytes()) for x, y, p in zip(a, s, starts, strict=True) if len(p)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["a", "s", "spans"])
+            a, s, place, other, parts, part, piece = (list(x) for x in zip(*todo, strict=True))
+            several = np.array(place) != np.array(other)
+            _, group = np.unique(np.stack((np.array(a), np.array(part))), axis=1, return_inverse=True)
+            starts = repeated_starts(piece, np.array(place), several, group.ravel(), length)
+            out, seen = [], set()
+            for k, hit in enumerate(starts):
+                if len(hit):
+                    out.append((a[k], s[k], ranges(hit, length).astype("<i8").tobytes(), None, None, None, None, None))
+                if parts[k] > 1:  # a part of a hot group: what has no match here may have one in another part
+                    done = set(hit.tolist())
+                    for i in range(len(piece[k]) - length + 1):
+                        w = hashlib.blake2b(piece[k][i : i + length], digest_size=16).digest()
+                        if i not in done:
+                            out.append((a[k], s[k], None, i, w, False, place[k] + i, other[k] + i))
+                        elif w not in seen:
+                            seen.add(w)
+                            out.append((None, None, None, None, w, True, None, None))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k.type) for i, k in enumerate(kinds)], schema=kinds)
 
         todo, size = [], 0
         for batch in batches:
-            for line in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size > BLOCK and line[0] != todo[-1][0]:
+            for line in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if size > BLOCK and (line[0], line[5]) != (todo[-1][0], todo[-1][5]):
                     yield work(todo)
                     todo, size = [], 0
                 todo.append(line)
-                size += len(line[2])
+                size += len(line[6])
         if todo:
             yield work(todo)
 
-    by_sort = near.mapInArrow(sort_groups, "a long, s binary, spans binary")
-
-    def windows(batches):
-        for batch in batches:
-            for a, s, piece, place, other in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                n = len(piece) - length + 1
-                if n > 0:
-                    ids = pa.array([hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)])
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * n), pa.array([s] * n), pa.array(range(n), pa.int64()), ids, pa.array(range(place, place + n), pa.int64()), pa.array(range(other, other + n), pa.int64())], names=["a", "s", "i", "w", "place", "other"])
-
-    hot = alone.where(F.col("texts") > GROUP).select("a", "s", "piece", "place", "other")
-    strings = hot.mapInArrow(windows, "a long, s binary, i long, w binary, place long, other long")
-    again = strings.groupBy("w").agg(F.min("place").alias("low"), F.max("other").alias("high")).where("low != high").select("w")
-    starts = strings.join(again, "w").groupBy("a", "s").agg(F.array_sort(F.collect_list("i")).alias("starts"))
+    by_sort = written(near.mapInArrow(sort_groups, "a long, s binary, spans binary, i long, w binary, found boolean, place long, other long"), "sorted")
+    strings = by_sort.where("w is not null")
+    again = strings.groupBy("w").agg(F.max("found").alias("found"), F.min("place").alias("low"), F.max("other").alias("high"), F.min("found").alias("everywhere")).where("not everywhere and (found or low != high)").select("w")
+    starts = strings.where("not found").join(again, "w").groupBy("a", "s").agg(F.array_sort(F.collect_set("i")).alias("starts"))
 
     def to_ranges(batches):
         for batch in batches:
@@ -281,9 +297,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("s"), pa.array(spans, pa.binary())], names=["a", "s", "spans"])
 
     by_hash = starts.mapInArrow(to_ranges, "a long, s binary, spans binary")
-    single = held.where("several").select("a", "s", F.lit(b"").alias("spans"))  # an empty list: all of it
-    results = single.union(by_sort).union(by_hash)
-    covered = pieces.select("a", "s", "c", "begin", F.octet_length("piece").alias("size")).join(results, ["a", "s"]).where(F.col("size") >= length)
+    single = held.where("place != other").select("a", "s", F.lit(b"").alias("spans"))  # an empty list: all of it
+    results = single.union(by_sort.where("spans is not null").select("a", "s", "spans")).union(by_hash)
+    covered = pieces.select("a", "s", "c", "begin", "size").join(results, ["a", "s"]).where(F.col("size") >= length)
     covered = covered.groupBy("c").agg(F.collect_list(F.struct("begin", "size", "spans")).alias("spans"))
     whole = texts.join(covered, "c").select("c", "text_", "spans")
 
