@@ -24,16 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null included) is among the decided ones (doc_id)."""
-    chosen = decided.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def drop(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs but those whose id is among the decided ones (doc_id): the smaller side of a filter that keeps most."""
-    chosen = decided.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    """The rows of docs but those whose id is among the decided ones (doc_id). Rows with a null id cannot be named, and stay."""
+    chosen = decided.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
+    return docs.join(chosen, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
