@@ -67,12 +67,13 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str,
     return scored(docs, id_col, text_col, [T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))], score), domains
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, most: int = 40, close: float = 1e-6) -> list[list[float]]:
-    """The steps of projected-gradient least squares: rate = max(0, rate - p . step), from rate 1, for each step in turn.
+def fit_rates(members: DataFrame, targets: np.ndarray, most: int = 40, close: float = 1e-6, least: float = 0.0) -> list[list[float]]:
+    """The steps of projected-gradient least squares: rate = max(least, rate - p . step), from rate 1, for each
+    step in turn.
 
     Minimises the squared distance of the expected tokens of each domain (sum over rows of n_tokens * rate * p) from
     ``targets``. The gradient of a row is scaled by 1 / n_tokens and by the inverse of sum n_tokens p p', so that a step
-    would reach the targets at once but for the projection to rates of 0 or more. Each iteration is one pass over the
+    would reach the targets at once but for the projection to rates of ``least`` or more. Each iteration is one pass over the
     compact table of memberships that sums one number a domain; no row is shuffled."""
     k = len(targets)
     at = lambda c, i: F.get(F.col(c), F.lit(i))
@@ -83,21 +84,24 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most: int = 40, close: fl
             m[i, j] = m[j, i] = gram[f"g{i}_{j}"] or 0
     inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
     steps: list[list[float]] = []
+    last = np.inf
     for _ in range(most):
-        rated = members.select("n_tokens", "p", rate_of(steps, k).alias("rate"))
+        rated = members.select("n_tokens", "p", rate_of(steps, k, least).alias("rate"))
         now = rated.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * at("p", i)).alias(f"t{i}") for i in range(k))).first()
         off = np.array([x or 0.0 for x in now]) - targets
-        if np.abs(off).sum() <= close * max(targets.sum(), 1):
+        far = np.abs(off).sum()
+        if far <= close * max(targets.sum(), 1) or far > 0.999 * last:
             break
+        last = far
         steps.append((inverse @ off).tolist())
     return steps
 
 
-def rate_of(steps: list[list[float]], k: int):
+def rate_of(steps: list[list[float]], k: int, least: float = 0.0):
     """The rate after the steps, as a column over p."""
     change = lambda step: sum((F.get(F.col("p"), F.lit(i)) * F.lit(step[i]) for i in range(k)), F.lit(0.0))
     moves = F.array(*(change(s) for s in steps)) if steps else F.array().cast("array<double>")
-    return F.aggregate(moves, F.lit(1.0), lambda rate, move: F.greatest(F.lit(0.0), rate - move))
+    return F.aggregate(moves, F.lit(1.0), lambda rate, move: F.greatest(F.lit(least), rate - move))
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, total: float | None = None, temper: float = 0.5, keep_all: bool = False) -> DataFrame:
@@ -106,8 +110,8 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     labelled: (id, domain). A classifier learnt from at most ``train_rows`` of them (those with the smallest hashed ids)
     gives every document a posterior over the domains; nonnegative rates are fitted so that the expected tokens of each
     domain match ``weights`` (domain -> share; by default the present shares to the power ``temper``). total: tokens to
-    reach (default: as many as there are). keep_all scales the total up until no domain has to shrink, so that the targets
-    are met by repeating documents. copies = the whole part of the rate, plus 1 where the hashed id falls below the rest.
+    reach (default: as many as there are). keep_all scales the total up until no domain has to shrink and keeps every
+    rate at 1 or more, so that the targets are met by repeating documents. copies = the whole part of the rate, plus 1 where the hashed id falls below the rest.
 
     Tokens are the classifier's own (runs of word or other visible characters). Texts that are null or empty have none
     and a rate by their prior; a null id is hashed as such; labelled rows with null id or domain do not train; without
@@ -123,8 +127,9 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     reach = total or have.sum()
     if keep_all:
         reach = max(reach, float(np.max(np.where(want > 0, have / np.maximum(want, 1e-12), 0), initial=0)))
-    steps = fit_rates(members, want * reach)
-    rated = members.withColumn("rate", F.round(rate_of(steps, k), 9))
+    least = 1.0 if keep_all else 0.0
+    steps = fit_rates(members, want * reach, least=least)
+    rated = members.withColumn("rate", F.round(rate_of(steps, k, least), 9))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return rated.select(id_col, "n_tokens", F.get(F.array(*map(F.lit, domains)), best).alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies"))
