@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, hashing, lines, text
 from ..operators import caption, dedup, jobs, publication
+from ..operators.field_only import parse_field_only, with_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured
 from ..sources.messages import decode_raw, encode_raw
 
@@ -262,6 +263,15 @@ def reject_reason_counts(spark, sf_dir):
     return parse_structured(raw_ads(spark, sf_dir)).groupBy(F.coalesce("reason", F.lit("parsed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {ADS_SQL} SELECT k, v <> 7 AS ok, CASE WHEN v = 7 THEN 'missing_structured_labels' END AS reason, CASE WHEN v IN (3, 4, 5) THEN 'raw_post' WHEN v <> 7 THEN p_name END AS title,
+CASE WHEN v <> 7 THEN p_size || ' 000 000 so{APOSTROPHE}m' END AS salary, CASE WHEN v <> 7 THEN n_name END AS location FROM ads""")
+def parse_field_only_ads(spark, sf_dir):
+    marked = F.filter(lines.split_lines(F.col("description")), lambda x: F.contains(x, F.lit(":00")))
+    rule = {"work_schedule": F.get(marked, F.lit(0)), "contact_telegram_usernames": contacts.usernames(F.col("description"), F.array(F.lit("src_ads")))}
+    p = parse_field_only(with_details(raw_ads(spark, sf_dir), {"src_ads": rule}))
+    return p.select("k", "ok", "reason", F.col("parsed_title").alias("title"), F.col("parsed_salary").alias("salary"), F.col("parsed_location").alias("location"))
+
+
 @query("""SELECT p_partkey, (p_name LIKE '%/%' OR p_name LIKE '%,%' OR p_partkey % 2 = 0) AS several FROM part""")
 def multi_role(spark, sf_dir):
     p = read(spark, sf_dir, "part")
