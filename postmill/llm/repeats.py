@@ -13,6 +13,8 @@ from .shared import U64, mix, slices, small_batches, stream, utf8, written
 
 #: Bytes of the strings that anchors are chosen by.
 GRAM = 32
+#: One gram in so many, chosen by hash, is counted over the corpus wherever it occurs.
+THIN = 32
 #: Distinct texts around one anchor that one suffix array takes; larger groups are dealt to several.
 GROUP = 256
 #: Bytes that go into one suffix array, about.
@@ -175,7 +177,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Equal texts are one class; a class of several rows with ``length`` bytes or more is removed whole.
     2. Anchors, 32-byte strings chosen by content such that every ``length`` bytes hold one, are counted over the corpus.
        Two equal strings hold equal anchors, so only surroundings of anchors with two places or more can repeat.
-    3. The surroundings of such an anchor are a group. Equal ones collapse to one with a mark that it has several places;
+    3. Its surroundings end at the next 32-byte string on either side that is known to occur once (one string in 32, by
+       hash, is counted over the texts that are left); no repeated string can hold one. They are a group. Equal ones collapse to one with a mark that it has several places;
        a suffix array over the rest (sorted in two stages) and its common prefixes of neighbours give the repeats.
        Groups with over GROUP different surroundings (hot passages) are dealt to several suffix arrays; strings without
        a match in their own array are hashed and held against those of the other arrays of all groups with partial
@@ -215,21 +218,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = keyed.join(spots, (F.col("c") == F.col("c2")) & F.col("id_").eqNullSafe(F.col("rep"))).select("c", "text_", "spots")
     texts = written(texts, "texts")
 
+    # grams that occur once: no string that holds one can repeat, so surroundings end there
+    def thin(batches):
+        for batch in batches:
+            for part in slices(batch, "text_"):
+                data, at = utf8(part.column("text_"))
+                pos, h = [], []
+                for i in range(part.num_rows):
+                    x = gram_hashes(data[at[i] : at[i + 1]])
+                    pos.append(np.flatnonzero(x % U64(THIN) == 0))
+                    h.append(x[pos[-1]])
+                k = part.column("k").take(pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in pos])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), k, pa.array(np.concatenate(pos).astype(np.int64))], names=["g", "k", "pos"])
+
+    grams = texts.select(F.xxhash64("c").alias("k"), "text_").mapInArrow(thin, "g long, k long, pos long")
+    spot = F.xxhash64("k", "pos")
+    once = grams.groupBy("g").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.min("k").alias("k"), F.min("pos").alias("pos")).where("low = high")
+    marks = once.groupBy("k").agg(F.array_sort(F.collect_list("pos")).alias("marks"))
+    marked = texts.join(marks, F.xxhash64("c") == F.col("k"), "left").select("c", "text_", "spots", F.coalesce("marks", F.array().cast("array<bigint>")).alias("marks"))
+
     # the surroundings of each spot, by a hash of their bytes; a place is a number such that equal places are equal and
     # neighbours differ by their distance
     def surround(batches):
         for batch in batches:
             for part in slices(batch, "text_", 1 << 19):
                 out: list = []
-                for c, text, spots in zip(part.column("c").to_pylist(), part.column("text_").to_pylist(), part.column("spots").to_pylist(), strict=True):
-                    raw = text.encode()
-                    for spot in spots:
-                        begin = max(0, spot["pos"] - reach)
-                        piece = raw[begin : spot["pos"] + length]
-                        out.append((spot["a"], hashlib.blake2b(piece, digest_size=16).digest(), c, begin, len(piece)))
+                for c, text, spots, marks in zip(*(part.column(x).to_pylist() for x in ("c", "text_", "spots", "marks")), strict=True):
+                    raw, marks = text.encode(), np.array([-1, *marks, len(text) * 4 + length], np.int64)
+                    places = np.array([x["pos"] for x in spots], np.int64)
+                    after = np.searchsorted(marks, places)
+                    begins = np.maximum(np.maximum(places - reach, 0), marks[after - 1] + 1).tolist()
+                    ends = np.minimum(np.minimum(places + length, len(raw)), marks[after] + GRAM - 1).tolist()
+                    for spot, begin, end in zip(spots, begins, ends, strict=True):
+                        if end - begin >= length:
+                            out.append((spot["a"], hashlib.blake2b(raw[begin:end], digest_size=16).digest(), c, begin, end - begin))
+                if not out:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "s", "c", "begin", "size"])
 
-    pieces = texts.mapInArrow(surround, "a long, s binary, c binary, begin long, size long")
+    pieces = marked.mapInArrow(surround, "a long, s binary, c binary, begin long, size long")
     pieces = written(pieces.withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")), "pieces")
     held = pieces.groupBy("a", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"))
     held = written(held, "contents")
