@@ -323,13 +323,13 @@ def json_roundtrip(spark, sf_dir):
 @query()
 def caption_render(spark, sf_dir):
     """Captions of the parsed ads; no caption is longer than the limit. Tested against expected captions."""
-    table = jobs.to_jobs(parse_structured(raw_ads(spark, sf_dir)), F.lit("2024-01-01").cast("timestamp"))
+    table = jobs.parsed_jobs(raw_ads(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"))
     return table.select("source_url", caption.render("ads_channel").alias("caption"))
 
 
 @query(f"""WITH {ADS_SQL} SELECT 'https://t.me/src_ads/' || k AS source_url, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title, s_name AS company FROM ads WHERE v IN (0, 6)""")
 def ingest_jobs(spark, sf_dir):
-    table = jobs.to_jobs(parse_structured(raw_ads(spark, sf_dir)), F.lit("2024-01-01").cast("timestamp"))
+    table = jobs.parsed_jobs(raw_ads(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"))
     new = dedup.conflict_free_append(table, table.where("false"), ["id", "dedup_hash", "source_post_hash"], ["posted_at", "source_url"])
     return new.select("source_url", "title", "company")
 

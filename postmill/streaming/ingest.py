@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import conflict_free_append, scratch_dir
-from ..operators.jobs import to_jobs
+from ..operators.dedup import conflict_free_append
+from ..operators.jobs import parsed_jobs
 from ..operators.publication import new_posts, ready_for_publication, title_is_eligible
-from ..operators.structured import parse_structured
 from ..schemas import CHANNEL_POSTS, JOBS
 
 KEYS = ["id", "dedup_hash", "source_post_hash"]
@@ -30,10 +27,7 @@ def ingest_batch(raw: DataFrame, batch: int, path: str, created_at=None) -> Data
     result is that of one run."""
     spark = raw.sparkSession
     target = f"{path}/batch={batch}"
-    jobs = to_jobs(parse_structured(raw), created_at if created_at is not None else F.current_timestamp())
-    parsed = f"{scratch_dir(spark)}/parsed-{uuid.uuid4().hex}"
-    jobs.write.parquet(parsed)  # parsed once, however many rounds the append takes
-    jobs = spark.read.schema(JOBS).parquet(parsed)
+    jobs = parsed_jobs(raw, created_at if created_at is not None else F.current_timestamp())
     existing = read_table(spark, path, f"{JOBS}, batch BIGINT").where(F.col("batch") != batch)
     new = conflict_free_append(jobs, existing, KEYS, ["posted_at", "source_url"])
     new.write.mode("overwrite").parquet(target)

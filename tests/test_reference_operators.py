@@ -85,7 +85,7 @@ def test_reject_codes_and_introductions(spark):
 def three(spark, tmp_path_factory):
     """The job rows of two different posts and of a copy of the first."""
     path = str(tmp_path_factory.mktemp("jobs") / "three")
-    jobs.to_jobs(parse_structured(raw(spark, POST, POST.replace("Kassir", "oshpaz"), POST)), F.lit(NOW)).write.parquet(path)
+    jobs.parsed_jobs(raw(spark, POST, POST.replace("Kassir", "oshpaz"), POST), F.lit(NOW)).write.parquet(path)
     return spark.read.parquet(path)
 
 
