@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches, written
 
 CANDIDATE = "id long, cand long, sim float"
+#: Queries that are also answered by comparing them with every vector, to know the recall.
+PROBES = 200
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -51,7 +54,9 @@ def batch_of(ids, cands, sims, most: int) -> pa.RecordBatch:
 
 
 def local_joins(groups: DataFrame, most: int, all_new: bool) -> DataFrame:
-    """Candidates from groups of members (struct of id, vec, kth, new): pairs with a new member that beat a member's kth best."""
+    """Candidates from groups of members (struct of id, vec, kth, new): pairs with a new member that beat a member's kth best.
+
+    Members whose kth best is infinite are only compared with, and get no candidates."""
 
     def run(batches):
         for batch in batches:
@@ -63,15 +68,16 @@ def local_joins(groups: DataFrame, most: int, all_new: bool) -> DataFrame:
             kth, new = flat.field("kth").to_numpy(), flat.field("new").to_numpy(zero_copy_only=False)
             out: tuple[list, list, list] = ([], [], [])
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                s = x[a:z] @ x[a:z].T
-                np.fill_diagonal(s, -np.inf)
+                own = a + np.flatnonzero(kth[a:z] < np.inf)
+                s = x[own] @ x[a:z].T
+                s[np.arange(len(own)), own - a] = -np.inf
                 if not all_new:
-                    s[~(new[a:z, None] | new[None, a:z])] = -np.inf
+                    s[~(new[own, None] | new[None, a:z])] = -np.inf
                 if z - a > most:
                     floor = np.partition(s, -most, axis=1)[:, -most]
                     s[s < floor[:, None]] = -np.inf
-                i, j = np.nonzero(s > kth[a:z, None])
-                out[0].append(name[a:z][i])
+                i, j = np.nonzero(s > kth[own, None])
+                out[0].append(name[own][i])
                 out[1].append(name[a:z][j])
                 out[2].append(s[i, j])
             yield batch_of(*out, most)
@@ -109,24 +115,24 @@ def top(candidates: DataFrame, graph: DataFrame | None, most: int) -> DataFrame:
     return kept.mapInArrow(run, "id long, cands array<long>, sims array<float>, news array<boolean>, kth float")
 
 
-def first_blocks(small: DataFrame, n: int, trees: int, size: int, width: int) -> DataFrame:
-    """Groups to start from: for each of ``trees`` sets of random hyperplanes, the vectors on the same side of all of them.
+def blocks(small: DataFrame, n: int, trees: int, size: int, width: int, seed: int = 3) -> DataFrame:
+    """Groups of (id, vec, kth): for each of ``trees`` sets of random hyperplanes, the vectors on the same side of all of them.
 
     Sides that hold more than ``size`` vectors are split at random, so that no group grows with the table."""
     bits = max(0, math.ceil(math.log2(max(1, n / size))))
-    planes = np.random.default_rng(3).standard_normal((trees * bits, width)).astype(np.float32)
+    planes = np.random.default_rng(seed).standard_normal((trees * bits, width)).astype(np.float32)
 
     def run(batches):
         for batch in batches:
             x = matrix(batch.column("vec"))
             side = (x @ planes.T > 0).reshape(len(x), trees, bits) if bits else np.zeros((len(x), trees, 0), bool)
             leaf = (side * (1 << np.arange(bits))).sum(2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(list(leaf), pa.list_(pa.int64()))], names=["id", "vec", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("kth"), pa.array(list(leaf), pa.list_(pa.int64()))], names=["id", "vec", "kth", "leaves"])
 
-    placed = small.mapInArrow(run, "id long, vec binary, leaves array<long>").select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+    placed = small.mapInArrow(run, "id long, vec binary, kth float, leaves array<long>").select("id", "vec", "kth", F.posexplode("leaves").alias("tree", "leaf"))
     counts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     salted = placed.join(counts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
-    member = F.struct("id", "vec", F.lit(float("-inf")).cast("float").alias("kth"), F.lit(True).alias("new"))
+    member = F.struct("id", "vec", "kth", F.lit(True).alias("new"))
     return salted.groupBy("tree", "leaf", "part").agg(F.collect_list(member).alias("members")).select("members")
 
 
@@ -145,16 +151,36 @@ def descend(graph: DataFrame, small: DataFrame, most: int, back: int) -> DataFra
     return local_joins(groups, most, False)
 
 
+def true_floors(keyed: DataFrame, probes: dict[int, list[float]], most: int) -> dict[int, float]:
+    """The score of the ``most``-th best node (the last one, if there are fewer) of each probe, from a comparison with all nodes."""
+    names, vecs = np.array(list(probes), np.int64), np.array(list(probes.values()), np.float64)
+
+    def run(batches):
+        held = np.zeros((len(names), 0))
+        for batch in batches:
+            flat, _ = lists(batch.column("vec"))
+            held = np.concatenate((held, vecs @ flat.reshape(batch.num_rows, -1).T), axis=1)
+            held = -np.partition(-held, most - 1, axis=1)[:, :most] if held.shape[1] > most else held
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held.shape[1])), pa.array(held.ravel())], names=["q", "score"])
+
+    scores = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, most)
+    kept = keyed.select("vec").mapInArrow(run, "q long, score double").groupBy("q").agg(scores.alias("best"))
+    return {r.q: r.floor for r in kept.select("q", F.element_at("best", -1).alias("floor")).collect()}
+
+
 def dot(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
 
-def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, width: int = 40, back: int = 20, trees: int = 12, block: int = 1000, iterations: int = 4, steps: int = 3, expand: int = 12) -> DataFrame:
+def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, width: int = 40, back: int = 20, trees: int = 12, block: int = 1000, expand: int = 12, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row where ``queries`` (a condition on ``id``) holds, its k nearest other rows by inner product.
 
     A graph of ``width`` neighbours over the distinct vectors starts from blocks by random hyperplanes and is improved by
-    NN-descent: each iteration joins neighbours of neighbours. A query starts at its own place in the graph and in each
-    step expands its ``expand`` best unexpanded candidates. All comparisons of the result are exact, in double
+    NN-descent: each iteration joins neighbours of neighbours, until one changes less than 0.5% of the graph. A query starts
+    at its own place in the graph and in each step expands its ``expand`` best unexpanded candidates, until none is left
+    among its best 2k. A sample of the queries is compared with every vector; while less than ``recall`` of their
+    neighbours are found, all queries are compared with the vectors of further random blocks, twice as large each time
+    (in the end the whole table), and go on from there. All comparisons of the result are exact, in double
     precision on the original vectors; ties go to the smaller id.
 
     Vectors that are null, empty, zero, of another length than most or with null or non-finite components take no part,
@@ -183,11 +209,12 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in (x / scale).astype(np.float16)], pa.binary())], names=["id", "vec"])
 
     small = written(keyed.select("node", "vec").mapInArrow(shrink, "id long, vec binary"), "small")
-    graph = written(top(local_joins(first_blocks(small, n, trees, block, dim), width, True), None, width), "graph")
-    for _ in range(iterations):
+    graph = written(top(local_joins(blocks(small.withColumn("kth", F.lit(float("-inf")).cast("float")), n, trees, block, dim), width, True), None, width), "graph")
+    while True:
         found = written(descend(graph, small, width, back), "candidates")
         graph = written(top(found, graph, width), "graph")
-        if found.count() < 0.005 * n * width:
+        changed = graph.agg(F.sum(F.size(F.filter("news", lambda x: x)))).first()[0] or 0
+        if changed <= 0.005 * n * width:
             break
     # greedy search from each query's own node
     asked = hashed.where(queries).select(F.col("id").alias("q"), "h1", "h2", F.col("vec").alias("qvec"))
@@ -203,16 +230,34 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     def ranked(seen: DataFrame) -> DataFrame:
         return seen.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand")))
 
-    seen = written(scores(pool.distinct()).withColumn("open", F.lit(True)), "seen")
-    for _ in range(steps):
-        front = ranked(seen).where(F.col("place") <= 2 * k).where("open").withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy("place"))).where(F.col("turn") <= expand)
-        front = written(front.select("q", "cand"), "front")
-        if not front.limit(1).count():
+    def expanded(seen: DataFrame) -> DataFrame:
+        while True:
+            front = ranked(seen).where(F.col("place") <= 2 * k).where("open").withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy("place"))).where(F.col("turn") <= expand)
+            front = written(front.select("q", "cand"), "front")
+            if not front.limit(1).count():
+                return seen
+            fresh = front.join(lists_of, front["cand"] == lists_of["node"]).select("q", F.explode("cands").alias("cand")).distinct().join(seen.select("q", "cand"), ["q", "cand"], "left_anti")
+            done = seen.join(front.withColumn("now", F.lit(True)), ["q", "cand"], "left").select("q", "cand", "score", (F.col("open") & F.col("now").isNull()).alias("open"))
+            both = done.union(scores(fresh).withColumn("open", F.lit(True)))
+            seen = written(ranked(both).where(F.col("place") <= 4 * k).drop("place"), "seen")
+
+    seen = expanded(written(scores(pool.distinct()).withColumn("open", F.lit(True)), "seen"))
+    probes = {r.q: r.qvec for r in query_vectors.orderBy(F.xxhash64("q"), "q").limit(PROBES).collect()}
+    # a query's own node is one of the k + 1
+    floors = true_floors(keyed, probes, k + 1) if probes else {}
+    size = block
+    while probes:
+        hits = sum(min(k + 1, sum(x >= floors[r.q] - 1e-9 * abs(floors[r.q]) for x in r.scores)) for r in seen.where(F.col("q").isin(list(probes))).groupBy("q").agg(F.collect_list("score").alias("scores")).collect())
+        reached = hits / (len(probes) * min(k + 1, n))
+        logging.getLogger(__name__).info("recall of %s probes: %s, blocks of %s", len(probes), reached, size)
+        if reached >= recall or size >= n:
             break
-        fresh = front.join(lists_of, front["cand"] == lists_of["node"]).select("q", F.explode("cands").alias("cand")).distinct().join(seen.select("q", "cand"), ["q", "cand"], "left_anti")
-        done = seen.join(front.withColumn("now", F.lit(True)), ["q", "cand"], "left").select("q", "cand", "score", (F.col("open") & F.col("now").isNull()).alias("open"))
-        both = done.union(scores(fresh).withColumn("open", F.lit(True)))
-        seen = written(ranked(both).where(F.col("place") <= 4 * k).drop("place"), "seen")
+        size *= 2
+        limits = asked.select(F.col("node").alias("id")).distinct().join(graph.select("id", "kth"), "id", "left").select("id", F.coalesce("kth", F.lit(float("-inf"))).cast("float").alias("kth"))
+        marked = small.join(limits, "id", "left").select("id", "vec", F.coalesce("kth", F.lit(float("inf"))).cast("float").alias("kth"))
+        near = written(local_joins(blocks(marked, n, trees, size, dim, size), width, True).select(F.col("id").alias("node"), "cand").distinct(), "near")
+        fresh = asked.select("q", "node").join(near, "node").select("q", "cand").distinct().join(seen.select("q", "cand"), ["q", "cand"], "left_anti")
+        seen = expanded(written(ranked(seen.union(scores(fresh).withColumn("open", F.lit(True)))).where(F.col("place") <= 4 * k).drop("place"), "seen"))
     found = seen.join(more, seen["cand"] == more["node"], "left").select("q", F.coalesce("id", "cand").alias("id"), "score").where("q != id")
     found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -241,6 +241,21 @@ def test_nearest_recall_and_edge_cases(spark):
     assert nearest(df.where("false"), F.col("id") == 0).collect() == []
 
 
+def test_nearest_recall_holds_where_the_graph_alone_loses_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(4).standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in nearest(df, F.col("id") % 20 == 0, width=22, back=4, trees=2, block=30).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hits = [len(found[q] & set(np.argsort(-s[q])[:20].tolist())) for q in range(0, 3000, 20)]
+    assert sum(hits) / (20 * len(hits)) >= 0.9
+
+
 def labelled(spark, n=600):
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
