@@ -127,6 +127,13 @@ def on_conflict_insert(spark, sf_dir):
     return dedup.conflict_free_append(o, o.where("false"), ["h", "s"], ["id"])
 
 
+@query()
+def on_conflict_insert_all(spark, sf_dir):
+    """All events inserted in order of id, with the keys of dedup_two_stage unique. Tested against one insert after the other."""
+    e = read(spark, sf_dir, "events").select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("post"), F.concat_ws(":", F.floor(F.col("value") * 10).cast("string"), "event_type").alias("content"))
+    return dedup.conflict_free_append(e, e.where("false"), ["post", "content"], ["event_id"])
+
+
 @query("""SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')
 AND lower(trim(o_orderpriority)) NOT IN ('raw_post', 'placeholder') ORDER BY o_orderdate, o_orderkey LIMIT 25""")
 def ready_for_publication(spark, sf_dir):

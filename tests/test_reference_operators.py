@@ -112,6 +112,20 @@ def test_append_is_in_order_and_nulls_do_not_collide(spark):
     assert sorted(r.n for r in dedup.dedup_latest(df, ["h"], [F.desc("n")]).collect()) == [2, 3, 4, 5, 6]
 
 
+def test_insert_query_over_all_events_equals_inserts_one_by_one(spark):
+    from postmill.plans.queries import QUERIES
+
+    posts, contents, want = set(), set(), []
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for r in events.select("event_id", "user_id", "event_type", F.floor(F.col("value") * 10).alias("v")).orderBy("event_id").collect():
+        post, content = f"{r.user_id}:{r.event_type}", f"{r.v}:{r.event_type}"
+        if post not in posts and content not in contents:
+            posts.add(post)
+            contents.add(content)
+            want.append((r.event_id, post, content))
+    assert sorted(map(tuple, QUERIES["on_conflict_insert_all"](spark, "/root/testdata/sf0.001").collect())) == want
+
+
 def test_publication(spark, three):
     j = three.where("source_url not like '%/3'")
     ids = {r.source_url[-1]: r.id for r in j.collect()}
