@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from postmill.llm import repeats, toxicity
+from postmill.llm import neardup, repeats, toxicity
 from postmill.llm.decontamination import contamination
 from postmill.llm.mixing import mix_to_targets
 from postmill.llm.nearest import nearest
@@ -109,6 +109,41 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def family(n, changes, seed):
+    """(texts, sets of 3-word shingles) of one text of 150 words and its copies with some words replaced."""
+    rng = np.random.default_rng(seed)
+    words = [f"v{i}" for i in range(400)]
+    base = list(rng.choice(words, 150))
+    texts = [" ".join(base)]
+    for i in range(n):
+        w = base.copy()
+        for at in rng.integers(0, 150, changes[i % len(changes)]):
+            w[at] = str(rng.choice(words))
+        texts.append(" ".join(w))
+    cut = [t.split() for t in texts]
+    return texts, [frozenset(tuple(w[i : i + 3]) for i in range(148)) for w in cut]
+
+
+def test_families_around_one_text_equal_brute_force(spark, monkeypatch):
+    """Copies with few changes are linked through the text they come from; those with many share its bands only, and few of
+    the pairs of the latter are compared."""
+    texts, sets = family(500, [1, 2, 3, 9, 14, 30], 5)
+    more, sets2 = family(60, [2, 10], 6)
+    texts, sets = texts + more, sets + sets2
+    least = list(range(len(texts)))
+    for _ in range(6):
+        for i in range(len(texts)):
+            for j in range(i):
+                if least[i] != least[j] and len(sets[i] & sets[j]) * 100 >= 85 * len(sets[i] | sets[j]):
+                    low, high = sorted((least[i], least[j]))
+                    least = [low if x == high else x for x in least]
+    compared, confirm = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *a: compared.append(pairs.count()) or confirm(pairs, *a))
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=3, percent=85).collect()
+    assert [r.component_id for r in sorted(got)] == least
+    assert len(set(least)) > 50 and sum(compared) < 10 * len(texts)
+
+
 def test_unlinked_members_of_one_bucket_end(spark):
     """Many short texts around one shared line collide in bands without being linked."""
     rows = [(i, "shared line of some words here " + " ".join(f"w{i}_{j}" for j in range(4))) for i in range(60)]
