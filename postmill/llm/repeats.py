@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, mix, slices, small_batches, stream, utf8, written
+from .shared import U64, Tables, mix, slices, small_batches, stream, utf8
 
 #: Bytes of the strings that anchors are chosen by.
 GRAM = 32
 #: One gram in so many, chosen by hash, is counted over the corpus wherever it occurs.
 THIN = 32
-#: Distinct texts around one anchor that one suffix array takes; larger groups are dealt to several.
-GROUP = 256
+#: Distinct texts around one anchor that go into one suffix array; larger groups are first parted by what their strings share.
+GROUP = 1024
+#: Parts of the range of offsets that such a group is parted into at a time.
+PARTS = 8
 #: Bytes that go into one suffix array, about.
 BLOCK = 1 << 18
 
@@ -171,6 +173,85 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[cut, 0], reach[np.append(cut[1:] - 1, len(spans) - 1)]), 1)
 
 
+def kinds_of(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of these columns from a list of rows, which may be empty."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, names.values(), strict=True)], names=list(names))
+
+
+def digest(*parts: bytes) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for part in parts:
+        h.update(len(part).to_bytes(4, "little") + part)
+    return h.digest()
+
+
+def parted(g: bytes, piece: bytes, at: list[int], lo: int, hi: int, length: int):
+    """The parts of a piece, cut by how far before the anchor (at) its strings begin: lo .. hi, in PARTS ranges.
+
+    (group, content, range, place of the anchor, begin, size) of each range in which the piece has strings. The strings of
+    a range have some bytes in common; these are its group, so equal strings of two pieces are of one group again."""
+    bounds = np.linspace(lo, hi + 1, min(PARTS, hi - lo + 1) + 1).astype(int).tolist()
+    for k in at:
+        for low, high in zip(bounds[:-1], (x - 1 for x in bounds[1:]), strict=True):
+            if max(low, k + length - len(piece)) > min(high, k):
+                continue
+            begin, end = max(k - high, 0), min(k + length - low, len(piece))
+            group = digest(g, low.to_bytes(4, "little"), piece[k - low : k + length - high])
+            yield group, digest(piece[begin:end], (k - begin).to_bytes(4, "little")), low, high, k - begin, begin, end - begin
+
+
+def part_groups(hot: DataFrame, length: int, first: bool) -> DataFrame:
+    """(g, s, child_g, child_s, lo, hi, at, begin, size, place, other): each content of a large group, parted."""
+    names = {"g": pa.binary(), "s": pa.binary(), "child_g": pa.binary(), "child_s": pa.binary(), "lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "begin": pa.int32(), "size": pa.int32(), "place": pa.int64(), "other": pa.int64()}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for g, s, piece, at, lo, hi, place, other in zip(*(batch.column(x).to_pylist() for x in ("g", "s", "piece", "at", "lo", "hi", "place", "other")), strict=True):
+                spots = [at]
+                if first:  # a periodic text holds its anchor several times; its strings are then aligned by each of them
+                    spots, gram, k = [], piece[at : at + GRAM], -1
+                    while (k := piece.find(gram, k + 1)) >= 0:
+                        spots.append(k)
+                rows += [(g, s, a, b, low, high, k, begin, size, place + begin, other + begin) for a, b, low, high, k, begin, size in parted(g, piece, spots, lo, hi, length)]
+            yield kinds_of(names, rows)
+
+    return hot.mapInArrow(run, "g binary, s binary, child_g binary, child_s binary, lo int, hi int, at int, begin int, size int, place long, other long")
+
+
+def sort_groups(near: DataFrame, length: int) -> DataFrame:
+    """(g, s, spans): what repeats in the pieces of each group, as begin and end in turn, by suffix arrays of whole groups."""
+    names = {"g": pa.binary(), "s": pa.binary(), "spans": pa.list_(pa.int32())}
+
+    def work(todo: list) -> pa.RecordBatch:
+        g, s, place, other, piece = (list(x) for x in zip(*todo, strict=True))
+        ids: dict[bytes, int] = {}
+        group = np.array([ids.setdefault(x, len(ids)) for x in g])
+        starts = repeated_starts(piece, np.array(place), np.array(place) != np.array(other), group, length)
+        return kinds_of(names, [(a, b, ranges(hit, length).ravel().tolist()) for a, b, hit in zip(g, s, starts, strict=True) if len(hit)])
+
+    def run(batches):
+        todo, size = [], 0
+        for batch in batches:
+            for line in zip(*(batch.column(x).to_pylist() for x in ("g", "s", "place", "other", "piece")), strict=True):
+                if size > BLOCK and line[0] != todo[-1][0]:
+                    yield work(todo)
+                    todo, size = [], 0
+                todo.append(line)
+                size += len(line[4])
+        if todo:
+            yield work(todo)
+
+    return near.select("g", "s", "place", "other", "piece").repartition("g").sortWithinPartitions("g").mapInArrow(run, "g binary, s binary, spans array<int>")
+
+
+def shifted(spans: DataFrame) -> DataFrame:
+    """(g, s, spans) of the contents (g, s) from the spans of parts of them that begin at ``begin``, one list for each content."""
+    moved = F.transform("spans", lambda x: x + F.col("begin"))
+    return spans.groupBy("g", "s").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``; texts are bytes of UTF-8.
 
@@ -178,17 +259,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2. Anchors, 32-byte strings chosen by content such that every ``length`` bytes hold one, are counted over the corpus.
        Two equal strings hold equal anchors, so only surroundings of anchors with two places or more can repeat.
     3. Its surroundings end at the next 32-byte string on either side that is known to occur once (one string in 32, by
-       hash, is counted over the texts that are left); no repeated string can hold one. They are a group. Equal ones collapse to one with a mark that it has several places;
-       a suffix array over the rest (sorted in two stages) and its common prefixes of neighbours give the repeats.
-       Groups with over GROUP different surroundings (hot passages) are dealt to several suffix arrays; strings without
-       a match in their own array are hashed and held against those of the other arrays of all groups with partial
-       sums, which finds the same repeats.
-    4. Covered bytes are merged for each class, and each row takes the result of its class.
+       hash, is counted over the texts that are left); no repeated string can hold one. They are a group. Equal ones
+       collapse to one with a mark that it has several places; a suffix array over the rest (sorted in two stages) and its
+       common prefixes of neighbours give the repeats.
+    4. Groups with over GROUP different surroundings (hot passages) are parted before: the strings that begin lo .. hi
+       bytes before the anchor all hold the same bytes around it, so surroundings that differ there have none in common.
+       Each part cuts its surroundings to what such strings can hold, equal ones collapse again, and parts that are still
+       large are parted further, down to single strings. A surrounding has open parts only where the hot passage ends, so
+       rows stay in proportion to the surroundings, and each suffix array takes at most GROUP of them.
+    5. Covered bytes are merged for each class, and each row takes the result of its class.
 
     Null and empty texts have 0 bytes and the hash of nothing. Null ids are kept as they are; rows that repeat an id and
     text are places each, so they repeat each other. Ties cannot matter. Only the named columns are read. An empty table
     gives an empty result."""
     spark = docs.sparkSession
+    tables = Tables(spark)
     small_batches(spark, 500)
     reach = length - GRAM
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -210,13 +295,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 c = part.column("c").take(pa.array(np.concatenate(row)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), c, pa.array(np.concatenate(pos).astype(np.int64))], names=["a", "c", "pos"])
 
-    found = written(keyed.where(F.octet_length("text_") >= length).select("text_", "c").mapInArrow(find, "a long, c binary, pos long").distinct(), "anchors")
+    found = tables.write(keyed.where(F.octet_length("text_") >= length).select("text_", "c").mapInArrow(find, "a long, c binary, pos long").distinct(), "anchors")
     place = F.xxhash64("c", "pos")
     shared = found.groupBy("a").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("a")
     spots = found.join(shared, "a").groupBy("c").agg(F.collect_list(F.struct("pos", "a")).alias("spots"))
     spots = spots.join(classes.select("c", "rep"), "c").withColumnsRenamed({"c": "c2"})
     texts = keyed.join(spots, (F.col("c") == F.col("c2")) & F.col("id_").eqNullSafe(F.col("rep"))).select("c", "text_", "spots")
-    texts = written(texts, "texts")
+    texts = tables.write(texts, "texts")
+    tables.drop("anchors")
 
     # grams that occur once: no string that holds one can repeat, so surroundings end there
     def thin(batches):
@@ -237,8 +323,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = once.groupBy("k").agg(F.array_sort(F.collect_list("pos")).alias("marks"))
     marked = texts.join(marks, F.xxhash64("c") == F.col("k"), "left").select("c", "text_", "spots", F.coalesce("marks", F.array().cast("array<bigint>")).alias("marks"))
 
-    # the surroundings of each spot, by a hash of their bytes; a place is a number such that equal places are equal and
-    # neighbours differ by their distance
+    # the surroundings of each spot, by a hash of their bytes and of where the anchor stands in them
+    around = {"g": pa.binary(), "s": pa.binary(), "c": pa.binary(), "begin": pa.int32(), "size": pa.int32(), "at": pa.int32()}
+
     def surround(batches):
         for batch in batches:
             for part in slices(batch, "text_", 1 << 19):
@@ -251,99 +338,70 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ends = np.minimum(np.minimum(places + length, len(raw)), marks[after] + GRAM - 1).tolist()
                     for spot, begin, end in zip(spots, begins, ends, strict=True):
                         if end - begin >= length:
-                            out.append((spot["a"], hashlib.blake2b(raw[begin:end], digest_size=16).digest(), c, begin, end - begin))
-                if not out:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "s", "c", "begin", "size"])
-
-    pieces = marked.mapInArrow(surround, "a long, s binary, c binary, begin long, size long")
-    pieces = written(pieces.withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")), "pieces")
-    held = pieces.groupBy("a", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"))
-    held = written(held, "contents")
-    sizes = held.groupBy("a").agg(F.count("*").alias("texts")).where("texts > 1")
-    # bytes travel once for each different surrounding that has others to be compared with
-    alone = held.join(sizes, "a").withColumn("parts", F.ceil(F.col("texts") / GROUP)).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
-    chosen = alone.join(pieces.select("a", "s", "c", "begin", "size", F.col("place").alias("here")), ["a", "s"]).where("place = here")
-    chosen = chosen.groupBy("a", "s", "place", "other", "parts", "part").agg(F.min(F.struct("c", "begin", "size")).alias("at"))
-    wanted = chosen.groupBy(F.col("at.c").alias("c3")).agg(F.collect_list(F.struct("a", "s", "place", "other", "parts", "part", F.col("at.begin").alias("begin"), F.col("at.size").alias("size"))).alias("wanted"))
+                            at = spot["pos"] - begin
+                            out.append((spot["a"].to_bytes(8, "little", signed=True), digest(raw[begin:end], at.to_bytes(4, "little")), c, begin, end - begin, at))
+                yield kinds_of(around, out)
 
-    def cut_out(batches):
-        for batch in batches:
-            for text, wanted in zip(batch.column("text_").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                raw = text.encode()
-                for k in range(0, len(wanted), 2000):
-                    rows = wanted[k : k + 2000]
-                    columns = [[x[n] for x in rows] for n in ("a", "s", "place", "other", "parts", "part")]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)), pa.array([raw[x["begin"] : x["begin"] + x["size"]] for x in rows])], names=["a", "s", "place", "other", "parts", "part", "piece"])
-
-    near = texts.select("c", "text_").join(wanted, F.col("c") == F.col("c3")).select("text_", "wanted")
-    near = near.mapInArrow(cut_out, "a long, s binary, place long, other long, parts long, part long, piece binary")
-    near = near.repartition("a", "part").sortWithinPartitions("a", "part")
-    kinds = pa.schema([("a", pa.int64()), ("s", pa.binary()), ("spans", pa.binary()), ("i", pa.int64()), ("w", pa.binary()), ("found", pa.bool_()), ("place", pa.int64()), ("other", pa.int64())])
-
-    def sort_groups(batches):
-        def work(todo):
-            a, s, place, other, parts, part, piece = (list(x) for x in zip(*todo, strict=True))
-            several = np.array(place) != np.array(other)
-            _, group = np.unique(np.stack((np.array(a), np.array(part))), axis=1, return_inverse=True)
-            starts = repeated_starts(piece, np.array(place), several, group.ravel(), length)
-            out, seen = [], set()
-            for k, hit in enumerate(starts):
-                if len(hit):
-                    out.append((a[k], s[k], ranges(hit, length).astype("<i8").tobytes(), None, None, None, None, None))
-                if parts[k] > 1:  # a part of a hot group: what has no match here may have one in another part
-                    done = set(hit.tolist())
-                    for i in range(len(piece[k]) - length + 1):
-                        w = hashlib.blake2b(piece[k][i : i + length], digest_size=16).digest()
-                        if i not in done:
-                            out.append((a[k], s[k], None, i, w, False, place[k] + i, other[k] + i))
-                        elif w not in seen:
-                            seen.add(w)
-                            out.append((None, None, None, None, w, True, None, None))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k.type) for i, k in enumerate(kinds)], schema=kinds)
+    # a place is a number such that equal places are equal and neighbours differ by their distance
+    pieces = marked.mapInArrow(surround, "g binary, s binary, c binary, begin int, size int, at int")
+    pieces = tables.write(pieces.withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")), "pieces")
+    held = pieces.groupBy("g", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"), F.min(F.struct("c", "begin", "size", "at")).alias("from"))
+    held = tables.write(held, "contents")
 
-        todo, size = [], 0
-        for batch in batches:
-            for line in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if size > BLOCK and (line[0], line[5]) != (todo[-1][0], todo[-1][5]):
-                    yield work(todo)
-                    todo, size = [], 0
-                todo.append(line)
-                size += len(line[6])
-        if todo:
-            yield work(todo)
-
-    by_sort = written(near.mapInArrow(sort_groups, "a long, s binary, spans binary, i long, w binary, found boolean, place long, other long"), "sorted")
-    strings = by_sort.where("w is not null")
-    again = strings.groupBy("w").agg(F.max("found").alias("found"), F.min("place").alias("low"), F.max("other").alias("high"), F.min("found").alias("everywhere")).where("not everywhere and (found or low != high)").select("w")
-    starts = strings.where("not found").join(again, "w").groupBy("a", "s").agg(F.array_sort(F.collect_set("i")).alias("starts"))
-
-    def to_ranges(batches):
-        for batch in batches:
-            spans = [ranges(np.array(x), length).astype("<i8").tobytes() for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("s"), pa.array(spans, pa.binary())], names=["a", "s", "spans"])
-
-    by_hash = starts.mapInArrow(to_ranges, "a long, s binary, spans binary")
-    single = held.where("place != other").select("a", "s", F.lit(b"").alias("spans"))  # an empty list: all of it
-    results = single.union(by_sort.where("spans is not null").select("a", "s", "spans")).union(by_hash)
-    covered = pieces.select("a", "s", "c", "begin", "size").join(results, ["a", "s"]).where(F.col("size") >= length)
-    covered = covered.groupBy("c").agg(F.collect_list(F.struct("begin", "size", "spans")).alias("spans"))
-    whole = texts.join(covered, "c").select("c", "text_", "spans")
+    # bytes travel once for each different surrounding that has others to be compared with
+    def with_bytes(large: bool) -> DataFrame:
+        sizes = held.groupBy("g").agg(F.count("*").alias("texts")).where(F.col("texts") > GROUP if large else (F.col("texts") > 1) & (F.col("texts") <= GROUP)).select("g")
+        wanted = held.join(sizes, "g").groupBy(F.col("from.c").alias("c3")).agg(F.collect_list(F.struct("g", "s", "place", "other", F.col("from.begin").alias("begin"), F.col("from.size").alias("size"), F.col("from.at").alias("at"))).alias("wanted"))
+        cut = {"g": pa.binary(), "s": pa.binary(), "place": pa.int64(), "other": pa.int64(), "at": pa.int32(), "piece": pa.binary()}
+
+        def cut_out(batches):
+            for batch in batches:
+                for text, wanted in zip(batch.column("text_").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                    raw = text.encode()
+                    for k in range(0, len(wanted), 2000):
+                        yield kinds_of(cut, [(x["g"], x["s"], x["place"], x["other"], x["at"], raw[x["begin"] : x["begin"] + x["size"]]) for x in wanted[k : k + 2000]])
+
+        near = texts.select("c", "text_").join(wanted, F.col("c") == F.col("c3")).select("text_", "wanted")
+        return near.mapInArrow(cut_out, "g binary, s binary, place long, other long, at int, piece binary")
+
+    levels, results = [], [tables.write(sort_groups(with_bytes(False), length), "spans")]
+    hot = tables.write(with_bytes(True).withColumns({"lo": F.lit(0), "hi": F.lit(reach)}), "hot")
+    while hot.limit(1).count():
+        parts = tables.write(part_groups(hot, length, not levels), "parts")
+        facts = parts.groupBy("child_g", "child_s").agg(F.min("place").alias("place"), F.max("other").alias("other"), F.min(F.struct("g", "s", "begin", "size", "at", "lo", "hi")).alias("from"))
+        facts = tables.write(facts, "contents")
+        sizes = facts.groupBy("child_g").agg(F.count("*").alias("texts")).where("texts > 1")
+        source = hot.select(F.col("g").alias("g2"), F.col("s").alias("s2"), "piece")
+        bytes_ = facts.join(sizes, "child_g").join(source, (F.col("from.g") == F.col("g2")) & (F.col("from.s") == F.col("s2")))
+        piece = F.substring("piece", F.col("from.begin") + 1, F.col("from.size"))
+        bytes_ = bytes_.select(F.col("child_g").alias("g"), F.col("child_s").alias("s"), "place", "other", F.col("from.at").alias("at"), F.col("from.lo").alias("lo"), F.col("from.hi").alias("hi"), piece.alias("piece"), "texts")
+        whole = facts.where("place != other").select(F.col("child_g").alias("g"), F.col("child_s").alias("s"), F.array(F.lit(0), F.col("from.size")).alias("spans"))
+        levels.append(parts.select("g", "s", "child_g", "child_s", "begin"))
+        results.append(tables.write(sort_groups(bytes_.where(F.col("texts") <= GROUP), length).union(whole), "spans"))
+        hot = tables.write(bytes_.where(F.col("texts") > GROUP).drop("texts"), "hot")
+    for parts in reversed(levels):  # from the parts back to the surroundings that they were cut from
+        spans = results.pop()
+        joined = parts.join(spans.withColumnsRenamed({"g": "child_g", "s": "child_s"}), ["child_g", "child_s"])
+        results[-1] = tables.write(results[-1].union(shifted(joined)), "spans")
+
+    whole = held.where("place != other").select("g", "s", F.array(F.lit(0), F.col("from.size")).alias("spans"))
+    covered = pieces.select("g", "s", "c", "begin").join(whole.union(results[0]), ["g", "s"])
+    covered = covered.groupBy("c").agg(F.collect_list(F.struct("begin", "spans")).alias("spans"))
+    cuts = texts.join(covered, "c").select("c", "text_", "spans")
 
     def cut(batches):
         for batch in batches:
             out = []
             for c, text, spans in zip(batch.column("c").to_pylist(), batch.column("text_").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, all_ = text.encode(), []
-                for x in spans:
-                    all_.append(np.frombuffer(x["spans"], "<i8").reshape(-1, 2) + x["begin"] if x["spans"] else np.array([[x["begin"], x["begin"] + x["size"]]]))
-                gone = merged(np.concatenate(all_))
+                raw = text.encode()
+                gone = merged(np.concatenate([np.array(x["spans"], np.int64).reshape(-1, 2) + x["begin"] for x in spans]))
                 bounds = [0, *gone.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:z] for a, z in zip(bounds[::2], bounds[1::2], strict=True))
                 out.append((c, len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["c", "n_removed", "n_spans", "kept_sha256"])
+            yield kinds_of({"c": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}, out)
 
-    cuts = whole.mapInArrow(cut, "c binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["c"])
+    cuts = tables.write(cuts.mapInArrow(cut, "c binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["c"]), "cuts")
+    tables.drop(*(tables.paths.keys() - {"cuts"}))
     zero = F.lit(0).cast("long")
     gone = (F.col("copies") > 1) & (F.col("size") >= length)
     result = classes.join(cuts, "c", "left").where(gone | F.col("n_removed").isNotNull()).select("c", F.when(gone, F.col("size")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(gone, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))

@@ -236,10 +236,26 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("group", [256, 2])
-def test_repeats_equal_brute_force(spark, docs, empty, group, monkeypatch):
+@pytest.mark.parametrize(("group", "length"), [(1024, 100), (2, 100), (1, 400)])
+def test_repeats_equal_brute_force(spark, docs, empty, group, length, monkeypatch):
+    """Groups of more than ``group`` surroundings are parted by content before they are sorted."""
     monkeypatch.setattr(repeats, "GROUP", group)
-    assert key(map(tuple, remove_repeats(docs, length=100).collect())) == key(brute_repeats(pairs(docs), 100))
+    assert key(map(tuple, remove_repeats(docs, length=length).collect())) == key(brute_repeats(pairs(docs), length))
+
+
+def test_hot_passages_and_periods_equal_brute_force(spark, monkeypatch):
+    """One passage in many surroundings, cut off at many places, and periodic texts that hold their anchors many times."""
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdé "), n))
+    hot, period = word(700), word(37)
+    texts = [word(rng.integers(0, 300)) + hot[rng.integers(0, 200) : 700 - rng.integers(0, 200)] + word(rng.integers(0, 300)) for _ in range(40)]
+    texts += [word(50) + period * k + word(50) for k in (9, 11, 13, 14, 30)] + ["ab" * 300, "x" + "ab" * 250, "a" * 450, "a" * 400, "a" * 399]
+    rows = list(enumerate(texts))
+    assert key(map(tuple, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == key(brute_repeats(rows, 400))
+
+
+def test_repeats_of_an_empty_table(empty):
     assert remove_repeats(empty).collect() == []
 
 
