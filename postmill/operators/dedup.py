@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _newest(order: list[Column], key: list[str]):
-    return Window.partitionBy(*key).orderBy(*order)
-
-
 def dedup_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row by ``order`` of each key, one key after the other; rows whose key is null all stay.
 
-    The window keeps one row a key in every task before the shuffle (Spark's group limit)."""
+    One scan and one shuffle a key: rows with a null key get a number of their own to be dealt by. The window keeps one row
+    a key in every task before the shuffle (Spark's group limit)."""
     for key in keys:
-        some = df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(_newest(order, [key]))).where("_rank = 1").drop("_rank")
-        df = some.unionByName(df.where(F.col(key).isNull()))
+        alone = df.withColumn("_alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+        ranked = alone.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_alone").orderBy(*order)))
+        df = ranked.where("_rank = 1").drop("_rank", "_alone")
     return df
 
 
@@ -33,20 +31,15 @@ def duplicates(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return parts
 
 
-def conflict_free_append(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str], scratch: str | None = None) -> DataFrame:
+def conflict_free_append(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows of ``batch`` that inserts in ``order`` would add to ``existing`` if a row that repeats any unique key is left out.
 
     A row that is first in order under each of its keys is certain; rows that share a key with a certain row are not
     inserted; what is left is looked at again. Each round is two hash aggregates a key and semi joins, written to the
-    shared folder so that the plan does not grow. Null keys never collide. Order columns must tell all rows apart."""
-    spark = batch.sparkSession
-    base = scratch or scratch_dir(spark)
-
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{base}/append-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    shared folder so that the plan does not grow. Null keys never collide. Order columns must tell all rows apart.
 
+    There are as many rounds as the longest chain of rows of which each waits for the one before (a row that shares a key
+    with an earlier one that is not certain yet); with two keys that hardly depend on each other they are few."""
     left = batch.withColumn("_ord", F.struct(*order))
     for key in keys:
         left = left.join(existing.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -68,16 +61,27 @@ def conflict_free_append(batch: DataFrame, existing: DataFrame, keys: list[str],
 
 
 def scratch_dir(spark) -> str:
-    """The folder that the cluster shares; a new temporary one only where none is set."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where none is set, a local master takes a new temporary
+    folder; a cluster is refused, as its executors would not see one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.postmill.scratch", None)
     if not found:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.postmill.scratch", found)
     return found.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the plan starts anew and nothing is computed twice."""
+    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def insert_outcomes(batch: DataFrame, inserted: DataFrame, message: str, row: str) -> DataFrame:
     """(message, outcome): Inserted if any row of a message was, else Duplicate."""
     flags = batch.select(message, row).join(inserted.select(row).distinct().withColumn("_in", F.lit(True)), row, "left")

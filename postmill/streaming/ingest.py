@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import conflict_free_append
+from ..operators.dedup import conflict_free_append, written
 from ..operators.jobs import parsed_jobs
 from ..operators.publication import new_posts, ready_for_publication, title_is_eligible
 from ..schemas import CHANNEL_POSTS, JOBS
@@ -41,9 +41,12 @@ def run_ingest_stream(raw_stream: DataFrame, path: str, checkpoint: str, once: b
 
 
 def publish_round(spark: SparkSession, jobs: DataFrame, posts_path: str, chat: str, n: int, send, now) -> DataFrame:
-    """One round of publication: the n oldest jobs that are ready go to ``send`` (DataFrame -> DataFrame of posts)."""
+    """One round of publication: the n oldest jobs that are ready go to ``send`` (DataFrame -> DataFrame of posts).
+
+    The chosen jobs and what was sent are written first, so each job is sent by one action; what is returned is read back.
+    A task that is lost while it sends is run again: ``send`` should pass the job's id on as a key of its delivery."""
     posts = read_table(spark, posts_path, CHANNEL_POSTS)
-    chosen = ready_for_publication(jobs, posts, chat, n).where(title_is_eligible(F.col("title")))
-    added = new_posts(posts, send(chosen, chat, now))
+    chosen = written(ready_for_publication(jobs, posts, chat, n).where(title_is_eligible(F.col("title"))))
+    added = written(new_posts(posts, written(send(chosen, chat, now))))
     added.write.mode("append").parquet(posts_path)
     return added

@@ -112,18 +112,27 @@ def test_append_is_in_order_and_nulls_do_not_collide(spark):
     assert sorted(r.n for r in dedup.dedup_latest(df, ["h"], [F.desc("n")]).collect()) == [2, 3, 4, 5, 6]
 
 
-def test_insert_query_over_all_events_equals_inserts_one_by_one(spark):
+@pytest.mark.parametrize(("name", "table", "row", "first", "second"), [
+    ("on_conflict_insert", "orders", "o_orderkey", "o_custkey", "to_date(o_orderdate)"),
+    ("on_conflict_insert_all", "events", "event_id", "concat_ws(':', user_id, event_type)", "concat_ws(':', floor(value * 10), event_type)"),
+])
+def test_insert_queries_equal_inserts_one_by_one(spark, name, table, row, first, second):
     from postmill.plans.queries import QUERIES
 
-    posts, contents, want = set(), set(), []
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    for r in events.select("event_id", "user_id", "event_type", F.floor(F.col("value") * 10).alias("v")).orderBy("event_id").collect():
-        post, content = f"{r.user_id}:{r.event_type}", f"{r.v}:{r.event_type}"
-        if post not in posts and content not in contents:
-            posts.add(post)
-            contents.add(content)
-            want.append((r.event_id, post, content))
-    assert sorted(map(tuple, QUERIES["on_conflict_insert_all"](spark, "/root/testdata/sf0.001").collect())) == want
+    firsts, seconds, want = set(), set(), []
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").selectExpr(f"{row} as id", f"{first} as a", f"{second} as b")
+    for r in rows.orderBy("id").collect():
+        if r.a not in firsts and r.b not in seconds:
+            firsts.add(r.a)
+            seconds.add(r.b)
+            want.append((r.id, r.a, r.b))
+    assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_chain_of_conflicts(spark):
+    """Each row shares a key with the one before: every second one is inserted, one round for each."""
+    df = spark.createDataFrame([(i, (i + 1) // 2 * 2, i // 2 * 2 + 1) for i in range(12)], "n int, h int, s int")
+    assert sorted(r.n for r in dedup.conflict_free_append(df, df.where("false"), ["h", "s"], ["n"]).collect()) == list(range(0, 12, 2))
 
 
 def test_publication(spark, three):
