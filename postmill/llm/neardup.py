@@ -18,6 +18,8 @@ SIZE = BANDS * ROWS
 CHUNK = 1 << 18
 #: Shingles that so many documents hold at most bring these together one by one; the others count in a bound.
 LIGHT = 4
+#: Ids that are broadcast to choose texts by.
+BROADCAST_IDS = 2_000_000
 
 
 def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,11 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id_, words): the sorted shingle hashes of the documents in ids (node)."""
+    """(id_, words): the sorted shingle hashes of the documents in ids (node, of one row each).
+
+    Up to BROADCAST_IDS ids go to all executors (some 40 bytes each), so that texts stay where they are; beyond, ids and
+    texts are joined by a shuffle."""
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     chosen = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_")).join(ids, F.col("id_") == F.col("node"), "left_semi")
 
     def run(batches):
@@ -229,8 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = spread.join(crowded, "bucket").groupBy("bucket", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("size"))
     members = tables.write(members, "crowded")
-    members = tables.write(members.join(members.groupBy("node").agg(F.sum("size").alias("weight")), "node").drop("size"), "members")
-    sets = tables.write(shingle_sets(docs, members.select("node").distinct(), id_col, text_col, width), "sets")
+    weights = tables.write(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    members = tables.write(members.join(weights, "node").drop("size"), "members")
+    sets = tables.write(shingle_sets(docs, weights.select("node"), id_col, text_col, width), "sets")
     twice = found.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).groupBy("id_").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     again = found.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).join(twice, "id_").select("a", F.col("rep").alias("b")).where("a < b").distinct()
     comp = tables.write(components(tables.write(again, "links"), tables), "components")
