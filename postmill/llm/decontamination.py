@@ -28,8 +28,9 @@ def shingle_hashes(words, size: int):
 
 
 def windows_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(window, items): each distinct run of ``window`` words of an item (a shorter item is one run) and the items that hold it."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
+    """(window, items): each distinct run of ``window`` words of an item (a shorter item is one run) and the items that hold it,
+    but for those with a null id, which cannot be named."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     runs = F.when(F.size("w") >= window, F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.slice("w", i, window))).otherwise(F.array("w"))
     return items.select("item", F.explode(runs).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
@@ -82,8 +83,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     Windows of ``window`` words of the items are found by their rarest shingle, bounded by position and length, and
-    verified word by word; a word inside any found window is hit. Null and empty texts have no words; items with a null
-    id or no words have no windows; a null document id is a key like any other; rows that repeat an id and text get the
+    verified word by word; a word inside any found window is hit. Null and empty texts have no words; items without
+    words have no windows; those with a null id hit like any other, but are not listed; a null document id is a key like any other; rows that repeat an id and text get the
     same result each, rows that share an id with other texts their own. Equal windows of several items count for each of
     them. Only the named columns are read. Empty tables give no rows, or no hits."""
     base = docs.select(F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))

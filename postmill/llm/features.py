@@ -64,17 +64,18 @@ def ngrams(column: pa.Array, bits: int, most: int) -> tuple[np.ndarray, np.ndarr
     return r, b, n, words.n + marks.n
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, columns: list, score) -> DataFrame:
-    """One pass over the texts: score(text array) gives the arrays of ``columns`` (StructFields) for a slice of rows."""
+def scored(docs: DataFrame, id_col: str, text_col: str, columns: list, score, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One pass over the texts: score(text array) gives the arrays of ``columns`` (StructFields) for a slice of rows; the
+    columns of ``keep`` come along."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *columns])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *columns, *(docs.schema[c] for c in keep)])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text_"):
-                yield pa.RecordBatch.from_arrays([part.column("id_"), *map(pa.array, score(part.column("text_")))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id_"), *map(pa.array, score(part.column("text_"))), *(part.column(2 + i) for i in range(len(keep)))], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), *keep).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -82,8 +83,15 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
+def bounded(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of their columns ``by``."""
+    return rows.orderBy(F.xxhash64(*by), *by).limit(most)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(label_, text_) of the labelled rows with the ``most`` smallest hashed ids: a bounded sample, so it may be broadcast."""
+    """(label_, text_) of the labelled rows with the ``most`` smallest hashed ids: a bounded sample, so it may be broadcast.
+
+    Where ids repeat in ``docs`` there are more rows; what a task makes of them has to be bounded again."""
     chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), label.alias("label_")).where(F.col("label_").isNotNull())
     chosen = chosen.orderBy(F.xxhash64("id_"), "id_", "label_").limit(most)
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))

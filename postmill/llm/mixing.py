@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import ngrams, scored, training_rows
+from .features import bounded, ngrams, scored, training_rows
 from .quality import values
-from .shared import slices, small_batches, written
+from .shared import Tables, slices, small_batches
 
 BITS = 17
 
@@ -36,7 +36,7 @@ def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, ro
     return out
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, train_rows: int, wanted: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, train_rows: int, wanted: list[str] | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """((id, n_tokens, p array) of every row, domains); labelled: (id, domain), a bounded sample of which trains."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -49,7 +49,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str,
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("label_"), pa.array([bucket[a:z].astype("<u4").tobytes() for a, z in spans]), pa.array([x[a:z].astype("<f4").tobytes() for a, z in spans])], names=["label_", "at", "x"])
 
-    table = training_rows(docs, labelled, F.col("domain"), id_col, text_col, train_rows).mapInArrow(features, "label_ string, at binary, x binary").toArrow()
+    table = training_rows(docs, labelled, F.col("domain"), id_col, text_col, train_rows).mapInArrow(features, "label_ string, at binary, x binary")
+    table = bounded(table, train_rows, "at", "label_").toArrow()
     rows = sorted(zip(*(table.column(i).to_pylist() for i in (1, 2, 0)), strict=True))
     domains = sorted({*(r[2] for r in rows), *(wanted or [])}) or ["all"]
     place = {d: i for i, d in enumerate(domains)}
@@ -64,61 +65,77 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str,
         p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
         return [tokens.astype(np.int64), list(p / p.sum(1, keepdims=True))] if len(z) else [tokens.astype(np.int64), pa.array([], pa.list_(pa.float64()))]
 
-    return scored(docs, id_col, text_col, [T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))], score), domains
+    return scored(docs, id_col, text_col, [T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))], score, keep), domains
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, most: int = 40, close: float = 1e-6, least: float = 0.0) -> list[list[float]]:
-    """The steps of projected-gradient least squares: rate = max(least, rate - p . step), from rate 1, for each
-    step in turn.
+def moved(rate, step: np.ndarray, least: float):
+    """The rate column after one projected step: rate - p . step, but no less than ``least``."""
+    change = sum((F.get(F.col("p"), F.lit(i)) * F.lit(float(x)) for i, x in enumerate(step)), F.lit(0.0))
+    return F.greatest(F.lit(least), rate - change)
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, tables: Tables, most: int = 40, close: float = 1e-6, gain: float = 2e-3, least: float = 0.0) -> tuple[DataFrame, float]:
+    """(``members`` with rate, the share of all tokens that is still off target) by projected-gradient least squares.
 
     Minimises the squared distance of the expected tokens of each domain (sum over rows of n_tokens * rate * p) from
-    ``targets``. The gradient of a row is scaled by 1 / n_tokens and by the inverse of sum n_tokens p p', so that a step
-    would reach the targets at once but for the projection to rates of ``least`` or more. Each iteration is one pass over the
-    compact table of memberships that sums one number a domain; no row is shuffled."""
+    ``targets``, from rates of 1 (or ``least``). A step is rate = max(least, rate - p . step); the gradient of a row is scaled by
+    1 / n_tokens and by the inverse of sum n_tokens p p' over the rows that may move (those above ``least``, and those that the
+    gradient raises), which reaches the targets at once if the projection met no other row. Where such a step brings the domains no
+    nearer, the plain gradient is taken, with the step that always does. Each pass is two aggregates over the compact table of
+    memberships, of one number for each domain and pair of domains; rates are written every fourth step, so that no pass repeats
+    more than four. It ends within ``close``, after ``most`` passes, or when a pass gains less than ``gain`` of the
+    distance (targets out of reach, where the tests come to 0.3% of all tokens of the best); the second result says how far the rates are off."""
     k = len(targets)
-    at = lambda c, i: F.get(F.col(c), F.lit(i))
-    gram = members.agg(*(F.sum(F.col("n_tokens") * at("p", i) * at("p", j)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = gram[f"g{i}_{j}"] or 0
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
-    steps: list[list[float]] = []
-    last = np.inf
+    p = [F.get(F.col("p"), F.lit(i)) for i in range(k)]
+    numbers = lambda table, sums: [x or 0.0 for x in table.agg(*(x.alias(f"c{i}") for i, x in enumerate(sums))).first()]
+    off_of = lambda table: np.array(numbers(table, [F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p])) - targets
+
+    def gram(table: DataFrame, off: np.ndarray) -> np.ndarray:
+        free = (F.col("rate") > least) | (sum((x * F.lit(float(d)) for x, d in zip(p, off, strict=True)), F.lit(0.0)) < 0)
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = numbers(table.where(free), [F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(i, k)])
+        return m + np.triu(m, 1).T
+
+    total = max(float(np.abs(targets).sum()), 1e-12)
+    table = members.withColumn("rate", F.lit(max(1.0, least)))
+    off, kept = off_of(table), 0
     for _ in range(most):
-        rated = members.select("n_tokens", "p", rate_of(steps, k, least).alias("rate"))
-        now = rated.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * at("p", i)).alias(f"t{i}") for i in range(k))).first()
-        off = np.array([x or 0.0 for x in now]) - targets
-        far = np.abs(off).sum()
-        if far <= close * max(targets.sum(), 1) or far > 0.999 * last:
+        far = np.linalg.norm(off)
+        if far <= close * total:
             break
-        last = far
-        steps.append((inverse @ off).tolist())
-    return steps
-
-
-def rate_of(steps: list[list[float]], k: int, least: float = 0.0):
-    """The rate after the steps, as a column over p."""
-    change = lambda step: sum((F.get(F.col("p"), F.lit(i)) * F.lit(step[i]) for i in range(k)), F.lit(0.0))
-    moves = F.array(*(change(s) for s in steps)) if steps else F.array().cast("array<double>")
-    return F.aggregate(moves, F.lit(1.0), lambda rate, move: F.greatest(F.lit(least), rate - move))
+        m = gram(table, off)
+        # the second bound holds for the rows that may move, as the others stay
+        for step in (np.linalg.pinv(m, rcond=1e-9, hermitian=True) @ off, off / max(float(np.linalg.norm(m, 2)), 1e-12)):
+            tried = table.withColumn("rate", moved(F.col("rate"), step, least))
+            now = off_of(tried)
+            if np.linalg.norm(now) < far * (1 - gain):
+                break
+        if np.linalg.norm(now) >= far * (1 - gain):
+            break
+        table, off, kept = tried, now, kept + 1
+        if kept % 4 == 0:
+            table = tables.write(table, "rates")
+    return table, float(np.abs(off).sum()) / total
 
 
-def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, total: float | None = None, temper: float = 0.5, keep_all: bool = False) -> DataFrame:
-    """(id, n_tokens, domain, posterior, rate, copies) for every row of ``docs``.
+def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, total: float | None = None, temper: float = 0.5, keep_all: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, domain, posterior, rate, copies, off_target, and the columns of ``keep``) for every row of ``docs``.
 
     labelled: (id, domain). A classifier learnt from at most ``train_rows`` of them (those with the smallest hashed ids)
     gives every document a posterior over the domains; nonnegative rates are fitted so that the expected tokens of each
     domain match ``weights`` (domain -> share; by default the present shares to the power ``temper``). total: tokens to
     reach (default: as many as there are). keep_all scales the total up until no domain has to shrink and keeps every
-    rate at 1 or more, so that the targets are met by repeating documents. copies = the whole part of the rate, plus 1 where the hashed id falls below the rest.
+    rate at 1 or more, so that the targets are met by repeating documents. copies = the whole part of the rate, plus 1 where the
+    hashed id falls below the rest. off_target, the same in all rows, is the share of all tokens by which the fitted rates miss the
+    targets: about 0, unless targets are out of reach (a domain that hardly any text shows).
 
     Tokens are the classifier's own (runs of word or other visible characters). Texts that are null or empty have none
     and a rate by their prior; a null id is hashed as such; labelled rows with null id or domain do not train; without
     any, there is one domain and the rates are all the same. Repeated rows are rated each. Other columns are ignored. An
     empty table gives an empty result."""
-    members, domains = posteriors(docs, labelled, id_col, text_col, train_rows, [*(weights or {})])
-    members = written(members, "memberships")
+    members, domains = posteriors(docs, labelled, id_col, text_col, train_rows, [*(weights or {})], keep)
+    tables = Tables(docs.sparkSession)
+    members = tables.write(members, "memberships")
     k = len(domains)
     got = members.agg(*(F.sum(F.col("n_tokens") * F.get(F.col("p"), F.lit(i))).alias(f"t{i}") for i in range(k))).first()
     have = np.array([x or 0.0 for x in got])
@@ -128,8 +145,8 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     if keep_all:
         reach = max(reach, float(np.max(np.where(want > 0, have / np.maximum(want, 1e-12), 0), initial=0)))
     least = 1.0 if keep_all else 0.0
-    steps = fit_rates(members, want * reach, least=least)
-    rated = members.withColumn("rate", F.round(rate_of(steps, k, least), 9))
+    fitted, off = fit_rates(members, want * reach, tables, least=least)
+    rated = fitted.withColumn("rate", F.round("rate", 9))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.select(id_col, "n_tokens", F.get(F.array(*map(F.lit, domains)), best).alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies"))
+    return rated.select(id_col, "n_tokens", F.get(F.array(*map(F.lit, domains)), best).alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long").alias("copies"), F.lit(round(off, 9)).alias("off_target"), *keep)

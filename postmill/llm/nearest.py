@@ -29,9 +29,17 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Vectors as bytes: the length as a 32-bit float and the direction as 16-bit ones, so that none loses its size or precision to others."""
+    norm = np.sqrt((x * x).sum(1))
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    return [a.tobytes() + b.tobytes() for a, b in zip(norm.astype("<f4"), unit.astype("<f2"), strict=True)]
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors kept as 16-bit floats in a binary column."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    """The vectors of a column of packed ones."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return raw[:, 4:].copy().view("<f2").astype(np.float32) * raw[:, :4].copy().view("<f4")
 
 
 def best(ids: np.ndarray, cands: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -201,12 +209,13 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     more = written(hashed.join(copies, ["h1", "h2"]).select("node", "id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k + 1).select("node", "id"), "copies")
     n = keyed.count()
 
+    # one scale for all: the largest component becomes 1, which changes no order
+    largest = keyed.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+
     def shrink(batches):
         for batch in batches:
             flat, _ = lists(batch.column("vec"))
-            x = flat.reshape(batch.num_rows, dim)
-            scale = max(1.0, float(np.abs(x).max()) / 6e4) if len(x) else 1.0  # 16-bit floats end at 65504; the order is what counts
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in (x / scale).astype(np.float16)], pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed(flat.reshape(batch.num_rows, dim) / largest), pa.binary())], names=["id", "vec"])
 
     small = written(keyed.select("node", "vec").mapInArrow(shrink, "id long, vec binary"), "small")
     graph = written(top(local_joins(blocks(small.withColumn("kth", F.lit(float("-inf")).cast("float")), n, trees, block, dim), width, True), None, width), "graph")

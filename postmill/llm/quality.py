@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import held_out, ngrams, scored, training_rows
+from .features import bounded, held_out, ngrams, scored, training_rows
 from .shared import slices, small_batches
 
 BITS, MOST = 20, 2
@@ -61,7 +61,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column("label_"), pa.array([bucket[a:z].astype("<u4").tobytes() for a, z in spans]), pa.array([x[a:z].astype("<f4").tobytes() for a, z in spans])], names=["label_", "at", "x"])
 
     known = labels.where(~held_out(id_col, folds, fold))
-    table = training_rows(docs, known, F.col(label_col).cast("int"), id_col, text_col, train_rows).mapInArrow(features, "label_ int, at binary, x binary").toArrow()
+    table = training_rows(docs, known, F.col(label_col).cast("int"), id_col, text_col, train_rows).mapInArrow(features, "label_ int, at binary, x binary")
+    table = bounded(table, train_rows, "at", "label_").toArrow()
     rows = sorted(zip(*(table.column(i).to_pylist() for i in (1, 2, 0)), strict=True))
     model, order = Ftrl((1 << BITS) + 1), np.random.default_rng(5)
     for _ in range(passes):

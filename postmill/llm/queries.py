@@ -103,7 +103,7 @@ a AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no =
 SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples FROM t LEFT JOIN a USING (doc_id)""",
     "op2_decontamination": f"""
-WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, len(x) AS k, array_to_string(x, ' ') AS x FROM (
   SELECT item, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda p: w[p:p+9]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS x FROM i)),
 d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
@@ -111,7 +111,7 @@ sizes AS (SELECT DISTINCT k FROM win),
 places AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, sizes WHERE len(w) >= k),
 hits AS (SELECT doc_id, p, k, item FROM (SELECT doc_id, k, p, array_to_string(w[p:p+k-1], ' ') AS x FROM places) JOIN win USING (k, x)),
 words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",

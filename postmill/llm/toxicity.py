@@ -9,40 +9,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import held_out, prefixes, scored, training_rows
+from .features import bounded, held_out, prefixes, scored, training_rows
 from .shared import slices, small_batches
 
-#: Identity terms by kind: neutral names of groups in English, French, German and Spanish. Fixed values.
+#: Identity terms by language and kind: neutral names of groups; a term is swapped within its language. Fixed values.
 IDENTITY = {
-    "gender": "women men woman man girls boys female male femmes hommes femme homme frauen männer frau mann mujeres hombres mujer hombre".split(),
-    "faith": "muslim muslims christian christians jewish jews jew hindu hindus buddhist buddhists atheist atheists musulmans chrétiens juifs muslime christen juden musulmanes cristianos judíos".split(),
-    "origin": "black white asian asians african africans european europeans arab arabs latino latinos immigrant immigrants refugee refugees immigrés réfugiés einwanderer flüchtlinge inmigrantes refugiados".split(),
-    "orientation": "gay lesbian straight bisexual heterosexual homosexual transgender trans queer".split(),
-    "ability": "disabled deaf blind autistic elderly young".split(),
+    "en gender": "women men woman man girls boys female male".split(),
+    "en faith": "muslim muslims christian christians jewish jews jew hindu hindus buddhist buddhists atheist atheists".split(),
+    "en origin": "black white asian asians african africans european europeans arab arabs latino latinos immigrant immigrants refugee refugees".split(),
+    "en orientation": "gay lesbian straight bisexual heterosexual homosexual transgender trans queer".split(),
+    "en ability": "disabled deaf blind autistic elderly young".split(),
+    "fr gender": "femmes hommes femme homme".split(),
+    "fr faith": "musulmans chrétiens juifs".split(),
+    "fr origin": "immigrés réfugiés".split(),
+    "de gender": "frauen männer frau mann".split(),
+    "de faith": "muslime christen juden".split(),
+    "de origin": "einwanderer flüchtlinge".split(),
+    "es gender": "mujeres hombres mujer hombre".split(),
+    "es faith": "musulmanes cristianos judíos".split(),
+    "es origin": "inmigrantes refugiados".split(),
 }
-KIND = {term: (kind, i) for kind, terms in IDENTITY.items() for i, term in enumerate(terms)}
+KIND = {term.casefold(): (kind, i) for kind, terms in IDENTITY.items() for i, term in enumerate(terms)}
 FOUND = regex.compile(r"(?<![\p{L}\p{N}])(" + "|".join(sorted(KIND, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", regex.I)
 SENTENCE = regex.compile(r"[^.!?\n]+")
 BITS, SIZES = 20, (4, 5, 6)
 
 
 def swapped(sentence: str, by: int) -> str:
-    """Each identity term replaced by the one that stands ``by`` places on in its kind."""
+    """Each identity term replaced by the one that stands ``by`` places on in its kind (not by itself, where there is another)."""
 
     def other(m):
-        kind, i = KIND[m[0].lower()]
-        return IDENTITY[kind][(i + by) % len(IDENTITY[kind])]
+        kind, i = KIND[m[0].casefold()]
+        n = len(IDENTITY[kind])
+        return IDENTITY[kind][(i + 1 + by % (n - 1)) % n]
 
     return FOUND.sub(other, sentence)
 
 
-def pairs(text: str, swaps: tuple[int, ...] = (1, 3, 7)) -> list[tuple[str, str]]:
+def pairs(text: str, swaps: tuple[int, ...] = (0, 2, 6)) -> list[tuple[str, str]]:
     """(sentence, swapped sentence) for every sentence with an identity term."""
     if not FOUND.search(text):
         return []
     return [(s, swapped(s, k)) for s in SENTENCE.findall(text) if FOUND.search(s) for k in swaps]
 
 
+def mentions() -> list[str]:
+    """Each identity term by itself: what a neutral mention adds to any text."""
+    return [term for terms in IDENTITY.values() for term in terms]
+
+
 def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
 
@@ -88,13 +103,14 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, differences: list[tuple[
     return w, b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 6000, penalty: float = 10.0, folds: int = 5, fold: int = 0) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 6000, penalty: float = 10.0, folds: int = 5, fold: int = 0, pair_rows: int = 30000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, held_out, score, predicted, and the columns of ``keep``) for every row of ``docs``.
 
     The classifier is a logistic regression on the presence of hashed words and word beginnings, learnt from at most
     ``train_rows`` labelled rows (those with the smallest hashed ids) outside the held-out fold. Sentences of these rows
-    that name a group are swapped to other groups of the same kind, and the fit is penalised by how far the swaps move
-    its score, so a mention alone does not count as toxic. Every whole text is scored in one pass without a shuffle.
+    that name a group are swapped to other groups of the same kind and language, and the fit is penalised by how far the
+    swaps, and adding a term to a text, move its score, so a mention alone does not count as toxic. Of the swapped sentences
+    ``pair_rows`` at most train (those with the smallest hashes). Every whole text is scored in one pass without a shuffle.
 
     Null and empty texts get the score of no features; null ids are held out; rows without or with a null label do not
     train; with no labelled rows at all every score is 0.5. Repeated rows are scored each. Only the named columns are
@@ -119,12 +135,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     out += [(None, np.setdiff1d(y, x).astype("<u4").tobytes(), np.setdiff1d(x, y).astype("<u4").tobytes()) for x, y in zip(*sides, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["label_", "a", "b"])
 
-    table = training_rows(docs, known, F.col(label_col).cast("int"), id_col, text_col, train_rows).mapInArrow(features, "label_ int, a binary, b binary").toArrow()
+    table = training_rows(docs, known, F.col(label_col).cast("int"), id_col, text_col, train_rows)
+    table = table.mapInArrow(features, "label_ int, a binary, b binary")
+    table = bounded(table.where("label_ is not null"), train_rows, "a", "label_").union(bounded(table.where("label_ is null"), pair_rows, "a", "b")).toArrow()
     label, a, b = (table.column(i).to_pylist() for i in range(3))
     ids = lambda raw: np.frombuffer(raw, "<u4").astype(np.int64)
     order = sorted((i for i, x in enumerate(label) if x is not None), key=lambda i: (a[i], label[i]))
-    swaps = sorted((a[i], b[i]) for i, x in enumerate(label) if x is None)
-    w, bias = fit([ids(a[i]) for i in order], np.array([label[i] for i in order], float), [(ids(x), ids(y)) for x, y in swaps], penalty)
+    swaps = [(ids(x), ids(y)) for x, y in sorted((a[i], b[i]) for i, x in enumerate(label) if x is None)]
+    term, bucket = prefixes(pa.array(mentions()), BITS, SIZES)
+    swaps += [(bucket[term == i].astype(np.int64), np.zeros(0, np.int64)) for i in range(len(mentions()))]
+    w, bias = fit([ids(a[i]) for i in order], np.array([label[i] for i in order], float), swaps, penalty)
     model = spark.sparkContext.broadcast((w.astype(np.float32), bias))
 
     def score(column):
@@ -133,5 +153,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         z = bias + np.bincount(row, w[bucket], len(column))
         return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
-    out = scored(docs, id_col, text_col, [T.StructField("score", T.DoubleType())], score)
-    return out.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs, id_col, text_col, [T.StructField("score", T.DoubleType())], score, keep)
+    return out.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
