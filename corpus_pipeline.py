@@ -1,9 +1,15 @@
 """The corpus pipeline: STAGES in order over documents, each a written table that the next one reads.
 
-Every stage but the last returns the columns of documents. ``run`` applies them to the documents of a folder.
+Every stage but the last returns the columns of documents, whatever else they hold; ``run`` applies them to the documents of a
+folder. A stage numbers the rows of its input by their place in it (its input is a written table, so a task that is run again
+numbers them alike) and decides by that number: a verdict falls on exactly the row it was made for, also where ids are null
+or repeat. Stages read doc_id, text and (mixing) lang alone; other columns come along under any name.
 
-SQL cannot express the classifiers, the fitted rates and the tokenizer, so ORACLE_SQL is None; the stages are tested
-against brute-force versions instead.
+In all stages: null and empty texts are clean, linked with nothing, and have no tokens; very long texts are read whole; an empty table gives
+an empty table.
+
+SQL cannot express the classifiers, the fitted rates and the tokenizer, so ORACLE_SQL is None; each stage is tested against a
+brute-force version of its rows instead.
 """
 
 from __future__ import annotations
@@ -24,42 +30,61 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def drop(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs but those whose id is among the decided ones (doc_id). Rows with a null id cannot be named, and stay."""
-    chosen = decided.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()
-    return docs.join(chosen, F.col("doc_id") == F.col("gone_id"), "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the number of each row in a column whose name none of the others has."""
+    name = "row_number_"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number is not among ``gone`` (gone_)."""
+    return rows.join(gone.withColumnRenamed("gone_", row), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for toxic go. It learns from the labelled documents of the stage's input."""
-    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
-    return drop(docs, scored.where("predicted = 1"))
+    """Documents that the classifier takes for toxic go, each row by its own text. It learns from the labelled documents of
+    the stage's input; a document with a null id is judged, but does not train."""
+    rows, row = numbered(docs)
+    scored = score_toxicity(rows.select("doc_id", "text", F.col(row).alias("gone_")), read(spark, sf_dir, "labels"), keep=("gone_",))
+    return without(rows, row, scored.where("predicted = 1").select("gone_"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Five-word shingles, similarity 0.8 or more."""
-    found = near_duplicates(docs, width=5, percent=80)
-    return drop(docs, found.where("not kept"))
+    """One document of each group stays: the one with the smallest id (null ids last), of equal ids the first row. Five-word
+    shingles, similarity 0.8 or more. Texts under one id are documents of their own, and repeated rows are copies."""
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("row_"), "text"), id_col="row_", width=5, percent=80).where("n_shingles > 0")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1")
+    copies = found.join(groups, "component_id").select(F.col("row_").alias("gone_"), "component_id")
+    named = copies.join(rows.select(F.col(row).alias("row_"), "doc_id"), F.col("gone_") == F.col("row_"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "gone_")
+    stays = named.groupBy("component_id").agg(F.min_by("gone_", order).alias("stays"))
+    return without(rows, row, copies.join(stays, "component_id").where("gone_ != stays").select("gone_"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = contamination(docs, read(spark, sf_dir, "benchmark"))
-    return drop(docs, found.where("contaminated"))
+    """Documents that hold a window of a benchmark item go, each row by its own text, also where the item has no id."""
+    rows, row = numbered(docs)
+    found = contamination(rows.select(F.col(row).alias("gone_"), "text"), read(spark, sf_dir, "benchmark"), id_col="gone_")
+    return without(rows, row, found.where("contaminated").select("gone_"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Domains get closer in size (shares to the power 0.9): documents of the smaller ones are repeated as often as their
-    rate says. No document has a rate below 1, so clean ones all stay."""
-    mixed = mix_to_targets(docs, domains_of(docs, read(spark, sf_dir, "labels")), temper=0.9, keep_all=True)
-    rates = mixed.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("copies").alias("copies"))
-    rated = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("rated_id")))
-    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).select(*docs.columns)
+    rate says. No document has a rate below 1, so clean ones all stay. Repeated rows are rated each."""
+    rows, row = numbered(docs)
+    labelled = domains_of(docs.select("doc_id", "lang"), read(spark, sf_dir, "labels"))
+    mixed = mix_to_targets(rows.select("doc_id", "text", F.col(row).alias("row_")), labelled, temper=0.9, keep_all=True, keep=("row_",))
+    # one number in the array for each copy
+    times = mixed.select("row_", F.explode(F.array_repeat(F.lit(0), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).select(F.col("row_").alias(row))
+    return rows.join(times, row).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as binary records with an index; the rows are read back from the files."""
-    return token_records(docs, TOKENIZER).drop("ids")
+    """Token ids as binary records with an index, in order of ids (nulls first); the rows are read back from the files."""
+    return token_records(docs.select("doc_id", "text"), TOKENIZER).drop("ids")
 
 
 STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicate), ("decontamination", decontamination), ("mixing", mixing), ("token records", token_output)]
