@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, hashing, lines, text
-from ..operators import caption, dedup, jobs, publication
+from ..operators import about_details, caption, dedup, jobs, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
+from ..operators.source_details import source_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured
 from ..sources.messages import decode_raw, encode_raw
 
@@ -338,6 +339,119 @@ def ingest_jobs(spark, sf_dir):
     return new.select("source_url", "title", "company")
 
 
+_FIRM, _TEL = "'Firma' || s_suppkey", "'Tel: +99890' || lpad(p_partkey::VARCHAR, 7, '0')"
+LOOSE_SQL = f"""loose AS (
+SELECT p_partkey AS k, p_partkey % 7 AS v, p_name, p_size, p_type, n_name, s_suppkey,
+ concat_ws(chr(10), '#ish',
+  CASE p_partkey % 7 WHEN 1 THEN p_name WHEN 3 THEN {_FIRM} || ' jamoasiga ' || p_name || ' va oshpaz ishga taklif qilinadi' WHEN 4 THEN {_FIRM} || ' jamoasiga xodimlar ishga taklif qilinadi'
+   ELSE {_FIRM} || ' jamoasiga ' || p_name || ' ishga taklif qilinadi' END,
+  CASE WHEN p_partkey % 7 = 4 THEN 'Bo''sh ish o''rinlari:' || chr(10) || '• ' || p_name || chr(10) || '• yordamchi' || chr(10) || 'Ish joyi: ' || {_FIRM} END,
+  CASE WHEN p_partkey % 7 <> 5 THEN 'Talablar:' || chr(10) || '• Tajriba ' || p_size || ' yil' || chr(10) || 'Oylik: ' || p_size || ' mln' || chr(10) || 'Manzil: ' || n_name || chr(10) || 'Mo''ljal: ' || p_type || chr(10) || 'Ish vaqti: 09:00 - 18:00' END,
+  CASE WHEN p_partkey % 7 NOT IN (2, 5) THEN 'Bog''lanish:' || chr(10) || '@hr_' || s_suppkey || 'x' END, CASE WHEN p_partkey % 7 <> 2 THEN {_TEL} END) AS description
+FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)"""
+STORY_SQL = f"""story AS (
+SELECT p_partkey AS k, p_partkey % 5 AS v, p_name, p_size, n_name, s_suppkey, CASE WHEN p_partkey % 5 = 2 THEN 'placeholder' ELSE p_name END AS title,
+ concat_ws(chr(10), '#ish', '"' || {_FIRM} || '" fabrikasi', 'Jamoamizga qo''shilishni xohlaysizmi', 'Oylik maoshlar razryadga qarab:', '2-razryad: ' || p_size || ' mln', '✓ Har oyda premiya', 'Manzil: ' || n_name,
+  CASE WHEN p_partkey % 5 <> 1 THEN {_TEL} END) AS description
+FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def posts_of(spark: SparkSession, sf_dir: str, name: str, title, described) -> DataFrame:
+    """Raw posts of parts with their supplier and nation: described(v-independent columns) makes the text."""
+    part, supplier, nation = (read(spark, sf_dir, t) for t in ("part", "supplier", "nation"))
+    n = supplier.count()
+    rows = part.join(supplier, F.col("s_suppkey") == F.col("p_partkey") % n).join(F.broadcast(nation), F.col("n_nationkey") == F.col("s_nationkey"))
+    null = F.lit(None).cast("string")
+    return rows.select(
+        F.col("p_partkey").alias("k"), title.alias("title"), null.alias("company"), described.alias("description"), null.alias("salary"), null.alias("location"), F.lit(name).alias("source"),
+        F.concat(F.lit(f"https://t.me/{name}/"), F.col("p_partkey").cast("string")).alias("url"), F.timestamp_seconds(F.lit(1704067200) + F.col("p_partkey") * 60).alias("posted_at"), F.array().cast("array<string>").alias("contact_links"),
+    )
+
+
+def _text(*parts):
+    return F.concat(*(F.lit(x) if isinstance(x, str) and not x.startswith("$") else F.col(x[1:]).cast("string") if isinstance(x, str) else x for x in parts))
+
+
+def raw_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, firm = F.col("p_partkey") % 7, _text("Firma", "$s_suppkey")
+    head = (
+        F.when(v == 1, F.col("p_name")).when(v == 3, _text(firm, " jamoasiga ", "$p_name", " va oshpaz ishga taklif qilinadi")).when(v == 4, _text(firm, " jamoasiga xodimlar ishga taklif qilinadi"))
+        .otherwise(_text(firm, " jamoasiga ", "$p_name", " ishga taklif qilinadi"))
+    )
+    listed = F.when(v == 4, _text("Bo'sh ish o'rinlari:\n• ", "$p_name", "\n• yordamchi\nIsh joyi: ", firm))
+    body = F.when(v != 5, _text("Talablar:\n• Tajriba ", "$p_size", " yil\nOylik: ", "$p_size", " mln\nManzil: ", "$n_name", "\nMo'ljal: ", "$p_type", "\nIsh vaqti: 09:00 - 18:00"))
+    reach = F.when(~v.isin(2, 5), _text("Bog'lanish:\n@hr_", "$s_suppkey", "x"))
+    tel = F.when(v != 2, _text("Tel: +99890", F.lpad(F.col("p_partkey").cast("string"), 7, "0")))
+    return posts_of(spark, sf_dir, "xorazm_ish", F.lit("placeholder"), F.concat_ws("\n", F.lit("#ish"), head, listed, body, reach, tel))
+
+
+def raw_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("p_partkey") % 5
+    told = _text('"Firma', "$s_suppkey", "\" fabrikasi\nJamoamizga qo'shilishni xohlaysizmi\nOylik maoshlar razryadga qarab:\n2-razryad: ", "$p_size", " mln\n✓ Har oyda premiya\nManzil: ", "$n_name")
+    tel = F.when(v != 1, _text("Tel: +99890", F.lpad(F.col("p_partkey").cast("string"), 7, "0")))
+    return posts_of(spark, sf_dir, "xorazm_ish", F.when(v == 2, "placeholder").otherwise(F.col("p_name")), F.concat_ws("\n", F.lit("#ish"), told, tel))
+
+
+_PHONE = "'+99890' || lpad(k::VARCHAR, 7, '0')"
+
+
+@query(f"""WITH {LOOSE_SQL} SELECT k, CASE WHEN v <> 5 THEN 'Tajriba ' || p_size || ' yil' END AS requirements, CASE WHEN v <> 5 THEN '09:00 - 18:00' END AS work_schedule, NULL::VARCHAR AS additional,
+CASE WHEN v NOT IN (2, 5) THEN 'hr_' || s_suppkey || 'x' END AS contact_text, CASE WHEN v = 2 THEN '' ELSE {_PHONE} END AS phones, CASE WHEN v IN (2, 5) THEN '' ELSE 'hr_' || s_suppkey || 'x' END AS names FROM loose""")
+def details_by_source(spark, sf_dir):
+    """Details of loosely labelled posts by the rules of their source."""
+    d = source_details(raw_loose(spark, sf_dir))
+    return d.select("k", "requirements", "work_schedule", "additional", "contact_text", F.array_join("contact_phone_numbers", ",").alias("phones"), F.array_join("contact_telegram_usernames", ",").alias("names"))
+
+
+@query(f"""WITH {LOOSE_SQL} SELECT k, 'Bepul tushlik' AS benefits, '20-30 yosh qizlar' AS requirements, 'Mijozlar bilan ishlash ' || p_size AS responsibilities, '09:00 - 18:00' AS work_schedule FROM loose""")
+def details_with_about(spark, sf_dir):
+    """Lines of a section about the work, sorted into the other sections; a label of the source's own is rewritten."""
+    about = _text("Ish haqida:\n• Mijozlar bilan ishlash ", "$p_size", "\n• 20-30 yosh qizlar\n• Bepul tushlik\nIsh jadvali: 09:00 - 18:00\nAsosiy kanal")
+    d = about_details.details_with_about(posts_of(spark, sf_dir, "ishchi_bor_kerak_toshkent", F.lit("placeholder"), about))
+    return d.select("k", "benefits", "requirements", "responsibilities", "work_schedule")
+
+
+_LOOSE_OK = "v IN (0, 6)"
+_LOOSE_REASON = "CASE v WHEN 1 THEN 'missing_company' WHEN 2 THEN 'missing_contact' WHEN 3 THEN 'multiple_roles_detected' WHEN 5 THEN 'too_few_optional_fields' END"
+
+
+@query(f"""WITH {LOOSE_SQL} SELECT k, {_LOOSE_OK} AS ok, CASE v WHEN 4 THEN 'multiple_roles_detected' ELSE {_LOOSE_REASON} END AS reason, CASE WHEN {_LOOSE_OK} THEN p_name END AS title, CASE WHEN {_LOOSE_OK} THEN {_FIRM} || ' jamoasi' END AS company,
+CASE WHEN {_LOOSE_OK} THEN p_size || ' mln' END AS salary, CASE WHEN {_LOOSE_OK} THEN n_name || ' (' || p_type || ')' END AS location FROM loose""")
+def parse_semi_structured_ads(spark, sf_dir):
+    p = semi_structured.parse_semi_structured(source_details(raw_loose(spark, sf_dir)))
+    return p.select("k", "ok", "reason", *(F.col(f"parsed_{c}").alias(c) for c in ("title", "company", "salary", "location")))
+
+
+@query(f"""WITH {LOOSE_SQL}, r AS (SELECT k, unnest([p_name, 'yordamchi']) AS title, unnest([1, 2]) AS role, p_size, n_name, p_type, s_suppkey FROM loose WHERE v = 4)
+SELECT 'https://t.me/xorazm_ish/' || k AS url, {_LOOSE_OK} AS ok, {_LOOSE_REASON} AS reason, CASE WHEN {_LOOSE_OK} THEN p_name END AS title, CASE WHEN {_LOOSE_OK} THEN {_FIRM} || ' jamoasi' END AS company FROM loose WHERE v <> 4
+UNION ALL SELECT 'https://t.me/xorazm_ish/' || k || '#role-' || role, true, NULL, title, {_FIRM} FROM r""")
+def parse_many_ads(spark, sf_dir):
+    """Lists of roles are split into a post for each."""
+    p = semi_structured.parse_many(raw_loose(spark, sf_dir), source_details)
+    return p.select("url", "ok", "reason", F.col("parsed_title").alias("title"), F.col("parsed_company").alias("company"))
+
+
+@query(f"""WITH {STORY_SQL} SELECT k, v NOT IN (1, 2) AS ok, CASE v WHEN 1 THEN 'missing_structured_labels' WHEN 2 THEN 'missing_title' END AS reason, CASE WHEN v NOT IN (1, 2) THEN p_name END AS title, CASE WHEN v NOT IN (1, 2) THEN {_FIRM} || ' fabrikasi' END AS company,
+CASE WHEN v NOT IN (1, 2) THEN 'Oylik maoshlar razryadga qarab:' || chr(10) || '2-razryad: ' || p_size || ' mln' END AS salary, CASE WHEN v NOT IN (1, 2) THEN n_name END AS location, CASE WHEN v NOT IN (1, 2) THEN 'Har oyda premiya' END AS benefits FROM story""")
+def parse_narrative_ads(spark, sf_dir):
+    p = narrative.parse_narrative(source_details(raw_story(spark, sf_dir)))
+    return p.select("k", "ok", "reason", *(F.col(f"parsed_{c}").alias(c) for c in ("title", "company", "salary", "location")), F.when(F.col("ok"), F.col("benefits")).alias("benefits"))
+
+
+@query(f"""WITH {ADS_SQL}, {LOOSE_SQL}, {STORY_SQL}
+SELECT 'ads' AS kind, k, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS title, s_name AS company FROM ads WHERE v IN (0, 6)
+UNION ALL SELECT 'loose', k, upper(substr(p_name, 1, 1)) || substr(p_name, 2), {_FIRM} || ' jamoasi' FROM loose WHERE {_LOOSE_OK}
+UNION ALL SELECT 'loose', k, upper(substr(t, 1, 1)) || substr(t, 2), {_FIRM} FROM (SELECT k, s_suppkey, unnest([p_name, 'yordamchi']) AS t FROM loose WHERE v = 4)
+UNION ALL SELECT 'story', k, upper(substr(p_name, 1, 1)) || substr(p_name, 2), {_FIRM} || ' fabrikasi' FROM story WHERE v NOT IN (1, 2)""")
+def ingest_cascade(spark, sf_dir):
+    """All posts through all parsers, the first that accepts one deciding."""
+    named = [(kind, df.drop("k").withColumn("url", F.concat("url", F.lit(f"?{kind}")))) for kind, df in (("ads", raw_ads(spark, sf_dir)), ("loose", raw_loose(spark, sf_dir)), ("story", raw_story(spark, sf_dir)))]
+    every = named[0][1].unionByName(named[1][1]).unionByName(named[2][1])
+    table = jobs.ingest_raw(every, F.lit("2024-01-01").cast("timestamp"))
+    part = lambda i: F.regexp_extract("source_url", r"/(\d+)\?(\w+)", i)
+    return table.select(part(2).alias("kind"), part(1).cast("long").alias("k"), "title", "company")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts -> raw events -> both hashes -> newest of each post and content -> what a chat has not had -> the 25 oldest."""
     d = raw_documents(spark, sf_dir)
