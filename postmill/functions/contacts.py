@@ -13,6 +13,8 @@ UZBEK_PHONE = r"\+?998(?:[\s\-()]?\d){9}"
 USERNAME = r"(?<![\w@])@([A-Za-z0-9_]{4,})"
 VISIBLE_URL = r"(?i)\b(?:https?://|t\.me/)[^\s<>()]+"
 SOURCE_URL = r"https?://t\.me/([^/\s]+)/\d+"
+MESSENGER_HOST = r"(?i)^https?://(?:www\.)?(?:t\.me|telegram\.me)(?:[/?#]|$)"
+MESSENGER_NAME = r"(?i)^https?://[^/?#]+/+(?:s/+(?=[^/?#]))?([^/?#]+)"
 OWN_LINK = r"(?iu)^https?://(?:www\.)?(?:t\.me|telegram\.me)/([^/\s?#]+)/?.*$"
 
 
@@ -81,3 +83,20 @@ def is_own_link(link: Column, own: Column) -> Column:
 def visible_links(c: Column, own: Column, message_url: Column) -> Column:
     here = F.coalesce(normalize_link(message_url), F.lit(""))
     return let(own, lambda names: F.filter(found(c, VISIBLE_URL, 0, normalize_link), lambda x: (x != here) & ~is_own_link(x, names)))
+
+
+def clean_link(c: Column) -> Column:
+    """A link without brackets around it and marks at its end, with a scheme; null unless it is http or https with a host."""
+    out = F.regexp_replace(trim_control(c), r"^[<>\[\]{}()]+|[<>\[\]{}()]+$", "")
+    out = F.regexp_replace(out, r"[.,;:!?)\]}>\"']+$", "")
+    scheme = lambda x: F.when(F.lower(x).startswith("t.me/"), F.concat(F.lit("https://"), x)).otherwise(x)
+    return let(let(out, scheme), lambda x: F.when(x.rlike(r"(?i)^https?://[^/?#]"), x))
+
+
+def message_links(links: Column, text: Column, own: Column, url: Column) -> Column:
+    """The links of a message (those of its buttons and entities, then those in its text), each once, but for the message's own
+    and those to the channel (``own``: an array of its names)."""
+    every = F.concat(F.coalesce(links, F.array().cast("array<string>")), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(VISIBLE_URL), F.lit(0)))
+    names = F.transform(F.array_compact(own), lambda x: F.lower(F.regexp_replace(trim_control(x), "^@+", "")))
+    foreign = lambda x: (x != F.coalesce(clean_link(url), F.lit(""))) & ~(x.rlike(MESSENGER_HOST) & F.array_contains(names, F.lower(F.regexp_extract(x, MESSENGER_NAME, 1))))
+    return F.array_distinct(F.filter(F.array_compact(F.transform(every, clean_link)), foreign))
