@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, hashing, lines, text
-from ..operators import about_details, caption, dedup, jobs, narrative, publication, semi_structured
+from ..operators import about_details, caption, channel_posts, dedup, jobs, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
 from ..operators.source_details import source_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured
@@ -19,6 +19,7 @@ from ..sources.messages import decode_raw, encode_raw
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 APOSTROPHE = chr(0x2018)
+_FIRM = "'Firma' || s_suppkey"
 
 
 def query(sql: str | None = None):
@@ -182,17 +183,16 @@ def strip_decorations(spark, sf_dir):
     return a
 
 
-@query(f"""WITH {ADS_SQL} SELECT k, CASE WHEN v = 2 THEN '' ELSE '+99890' || lpad(k::VARCHAR, 7, '0') END AS phones, 'hr_' || s_suppkey AS names FROM ads""")
+@query(f"""WITH {ADS_SQL} SELECT k, concat_ws(',', CASE WHEN v <> 1 THEN split_part(s_name, '#', 2) END, CASE WHEN v <> 7 THEN p_size || '000000' END, CASE WHEN v <> 2 THEN '+99890' || lpad(k::VARCHAR, 7, '0') END) AS phones, 'hr_' || s_suppkey AS names FROM ads""")
 def extract_contacts(spark, sf_dir):
-    # an amount in a salary line is no phone: the phones are taken from the lines of phone labels
+    """Phones and names of whole posts: an amount or a name with seven digits or more is a number like any other."""
     a = ads(spark, sf_dir)
-    marked = F.filter(lines.split_lines(F.col("description")), lambda x: F.contains(x, F.lit("Telefon")))
-    return a.select("k", F.array_join(contacts.phones(F.array_join(marked, "\n")), ",").alias("phones"), F.array_join(contacts.usernames(F.col("description"), F.array(F.lit("src_ads"))), ",").alias("names"))
+    return a.select("k", F.array_join(contacts.phones(F.col("description")), ",").alias("phones"), F.array_join(contacts.usernames(F.col("description"), F.array(F.lit("src_ads"))), ",").alias("names"))
 
 
-@query("""SELECT doc_id, list_aggregate(list_distinct(list_transform(regexp_extract_all(text, '\\+?998(?:[\\s\\-()]?\\d){9}'), lambda x: '+' || regexp_replace(x, '\\D', '', 'g'))), 'count')::INT AS n_phones FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\+?998(?:[\\s\\-()]?\\d){9}'), lambda x: '+' || regexp_replace(x, '\\D', '', 'g')))), ',') AS phones FROM documents""")
 def extract_uzbek_phones(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(contacts.uzbek_phones(F.col("text"))).alias("n_phones"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(contacts.uzbek_phones(F.col("text"))), ",").alias("phones"))
 
 
 @query("""SELECT page_id, CASE WHEN u LIKE 'http://%' OR u LIKE 'https://%' THEN u END AS link FROM (SELECT page_id, regexp_replace(trim(url), '[.,;:!?]+$', '') AS u FROM pages)""")
@@ -224,19 +224,19 @@ def ordered_distinct_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(lines.ordered_distinct(lines.split_lines(F.col("text"))), "\n").alias("text"))
 
 
-@query(f"""SELECT doc_id, len(list_filter(x, lambda l: NOT list_contains(x[1:2], l)))::INT AS n_left FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents)""")
+@query(f"""SELECT doc_id, array_to_string(list_filter(x, lambda l: NOT list_contains(x[1:2], l)), chr(10)) AS rest FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents)""")
 def subtract_lines(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.size(lines.subtract_lines(F.col("x"), F.slice("x", 1, 2), lambda y: y)).alias("n_left"))
+    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.array_join(lines.subtract_lines(F.col("x"), F.slice("x", 1, 2), lambda y: y), "\n").alias("rest"))
 
 
-@query(f"""SELECT doc_id, len(CASE WHEN p IS NULL OR p = 0 THEN x ELSE x[1:p-1] END)::INT AS n_head FROM (SELECT doc_id, x, list_position(list_transform(x, lambda l: length(l) < 40), true) AS p FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents))""")
+@query(f"""SELECT doc_id, array_to_string(CASE WHEN p IS NULL OR p = 0 THEN x ELSE x[1:p-1] END, chr(10)) AS head FROM (SELECT doc_id, x, list_position(list_transform(x, lambda l: length(l) < 40), true) AS p FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents))""")
 def take_until_boundary(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.size(lines.take_until(F.col("x"), lambda y: F.length(y) < 40)).alias("n_head"))
+    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.array_join(lines.take_until(F.col("x"), lambda y: F.length(y) < 40), "\n").alias("head"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(f) = 0 THEN 0 ELSE list_max(f) - list_min(f) + 1 END::INT AS n_kept FROM (SELECT doc_id, list_filter(list_transform(x, lambda l, i: CASE WHEN length(l) >= 40 THEN i END), lambda i: i IS NOT NULL) AS f FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents))""")
+@query(f"""SELECT doc_id, CASE WHEN len(f) = 0 THEN '' ELSE array_to_string(x[list_min(f):list_max(f)], chr(10)) END AS kept FROM (SELECT doc_id, x, list_filter(list_transform(x, lambda l, i: CASE WHEN length(l) >= 40 THEN i END), lambda i: i IS NOT NULL) AS f FROM (SELECT doc_id, {_LINES_SQL} AS x FROM documents))""")
 def trim_edges(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.size(lines.trim_edges(F.col("x"), lambda y: F.length(y) < 40)).alias("n_kept"))
+    return read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("x")).select("doc_id", F.array_join(lines.trim_edges(F.col("x"), lambda y: F.length(y) < 40), "\n").alias("kept"))
 
 
 @query("""SELECT conv_id, island::INT AS island, any_value(role) AS role, count(*) AS turns FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) WHERE island > 0 AND role = 'user' GROUP BY conv_id, island""")
@@ -305,15 +305,39 @@ def coverage_report(spark, sf_dir):
     return jobs.coverage_report(d)
 
 
-@query("""SELECT doc_id, source, CASE WHEN source IN ('src1', 'src2') THEN source ELSE NULL END AS rule FROM documents WHERE source IN ('src1', 'src2', 'src3')""")
+@query("""SELECT 'https://t.me/' || source || '/' || doc_id AS url, source, CASE WHEN source IN ('src1', 'src2') THEN 'by ' || source ELSE 'raw_post' END AS title, length(trim(text)) AS n FROM documents WHERE trim(text) <> ''""")
 def plugin_dispatch(spark, sf_dir):
+    """All documents as messages of all their channels through the registry: two sources have a rule, the others pass as they are."""
+    channels = [r.source for r in read(spark, sf_dir, "documents").select("source").where("source is not null").distinct().collect()]
     registry = jobs.Registry()
-    for name in ("src1", "src2", "src3"):
-        registry.register(name, name)
-    registry.register("src4", "src4", enabled=False)
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("channel"))
-    found = d.join(F.broadcast(registry.table(spark)), "channel")
-    return found.select("doc_id", "source", F.when(F.col("source").isin("src1", "src2"), F.col("source")).alias("rule"))
+    for name in channels:
+        rule = (lambda df: jobs.raw_passthrough(df).withColumn("title", F.concat(F.lit("by "), "source"))) if name in ("src1", "src2") else None
+        registry.register(f"plugin_{name}", name, name, rule)
+    registry.register("z_late", channels[0] if channels else "none", "never")
+    registry.register("a_off", "src4", "never", enabled=False)
+    d = raw_documents(spark, sf_dir)
+    now = F.lit("2024-01-01").cast("timestamp")
+    messages = d.select(F.col("doc_id").alias("id"), now.alias("date"), F.col("description").alias("text"), "url", F.array().cast("array<string>").alias("contact_links"), F.lit(0).cast("bigint").alias("views"), F.lit(0).cast("bigint").alias("forwards"), F.col("source").alias("channel"))
+    return registry.ingest(messages).select("url", "source", "title", F.length("description").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/vacancies/' || k AS url, p_name AS title, {_FIRM} || ' firmasi' AS company, p_size || ' mln' AS salary, n_name AS location FROM p WHERE v = 0
+UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-1', p_name || ' sotuvchi', {_FIRM} || ' firmasi', p_size || ' mln', n_name FROM p WHERE v = 1
+UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-2', 'Kassir', {_FIRM} || ' firmasi', '4 mln', n_name FROM p WHERE v = 1
+UNION ALL SELECT 'https://t.me/vacancies/' || k, p_name || ' / Farrosh', NULL, 'kelishiladi', n_name FROM p WHERE v = 2""")
+def channel_vacancies(spark, sf_dir):
+    """Messages of a channel by its rule: one job, a job for each role heading, a list of roles in one job, and no vacancy."""
+    v, firm = F.col("p_partkey") % 4, _text("Firma", "$s_suppkey")
+    one = _text(firm, " firmasiga ", "$p_name", " ishga taklif qilinadi\nTalablar:\nOylik: ", "$p_size", " mln\nManzil: ", "$n_name")
+    headings = _text(firm, " firmasiga quyidagi lavozimlarga ishga taklif qilinadi\n", "$p_name", " sotuvchi\nTalablar:\nHalol\nOylik ", "$p_size", " mln\nKassir\nTalablar:\nOylik 4 mln\nManzil: ", "$n_name")
+    listed = _text("Xodimlar kerak\n• ", "$p_name", "\n• Farrosh\nManzil: ", "$n_name", "\nMaosh kelishiladi")
+    told = F.when(v == 0, one).when(v == 1, headings).when(v == 2, listed).otherwise("Yangiliklar")
+    posts = posts_of(spark, sf_dir, "vacancies", F.lit(""), told)
+    messages = posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.concat(F.lit("#ish\n"), "description").alias("text"), "url", "contact_links", F.lit("vacancies").alias("channel"))
+    registry = jobs.Registry()
+    registry.register("vacancies", "vacancies", "vacancies", channel_posts.vacancies)
+    return registry.ingest(messages).select("url", "title", "company", "salary", "location")
 
 
 @query("""SELECT doc_id, split_part(text, chr(10), 1) <> '' AND text <> '' AS ok, CASE WHEN split_part(text, chr(10), 1) <> '' AND text <> '' THEN 'https://t.me/' || source || '/' || doc_id END AS url FROM documents""")
@@ -339,7 +363,7 @@ def ingest_jobs(spark, sf_dir):
     return new.select("source_url", "title", "company")
 
 
-_FIRM, _TEL = "'Firma' || s_suppkey", "'Tel: +99890' || lpad(p_partkey::VARCHAR, 7, '0')"
+_TEL = "'Tel: +99890' || lpad(p_partkey::VARCHAR, 7, '0')"
 LOOSE_SQL = f"""loose AS (
 SELECT p_partkey AS k, p_partkey % 7 AS v, p_name, p_size, p_type, n_name, s_suppkey,
  concat_ws(chr(10), '#ish',
