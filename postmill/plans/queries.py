@@ -321,23 +321,49 @@ def plugin_dispatch(spark, sf_dir):
     return registry.ingest(messages).select("url", "source", "title", F.length("description").alias("n"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
-SELECT 'https://t.me/vacancies/' || k AS url, p_name AS title, {_FIRM} || ' firmasi' AS company, p_size || ' mln' AS salary, n_name AS location FROM p WHERE v = 0
-UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-1', p_name || ' sotuvchi', {_FIRM} || ' firmasi', p_size || ' mln', n_name FROM p WHERE v = 1
-UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-2', 'Kassir', {_FIRM} || ' firmasi', '4 mln', n_name FROM p WHERE v = 1
-UNION ALL SELECT 'https://t.me/vacancies/' || k, p_name || ' / Farrosh', NULL, 'kelishiladi', n_name FROM p WHERE v = 2""")
-def channel_vacancies(spark, sf_dir):
-    """Messages of a channel by its rule: one job, a job for each role heading, a list of roles in one job, and no vacancy."""
+def channel_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a channel: one job, a job for each role heading, a list of roles in one job, and no vacancy."""
     v, firm = F.col("p_partkey") % 4, _text("Firma", "$s_suppkey")
     one = _text(firm, " firmasiga ", "$p_name", " ishga taklif qilinadi\nTalablar:\nOylik: ", "$p_size", " mln\nManzil: ", "$n_name")
     headings = _text(firm, " firmasiga quyidagi lavozimlarga ishga taklif qilinadi\n", "$p_name", " sotuvchi\nTalablar:\nHalol\nOylik ", "$p_size", " mln\nKassir\nTalablar:\nOylik 4 mln\nManzil: ", "$n_name")
     listed = _text("Xodimlar kerak\n• ", "$p_name", "\n• Farrosh\nManzil: ", "$n_name", "\nMaosh kelishiladi")
     told = F.when(v == 0, one).when(v == 1, headings).when(v == 2, listed).otherwise("Yangiliklar")
     posts = posts_of(spark, sf_dir, "vacancies", F.lit(""), told)
-    messages = posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.concat(F.lit("#ish\n"), "description").alias("text"), "url", "contact_links", F.lit("vacancies").alias("channel"))
+    return posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.concat(F.lit("#ish\n"), "description").alias("text"), "url", "contact_links", F.lit("vacancies").alias("channel"))
+
+
+def channel_jobs(messages: DataFrame) -> DataFrame:
     registry = jobs.Registry()
     registry.register("vacancies", "vacancies", "vacancies", channel_posts.vacancies)
-    return registry.ingest(messages).select("url", "title", "company", "salary", "location")
+    return registry.ingest(messages)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/vacancies/' || k AS url, p_name AS title, {_FIRM} || ' firmasi' AS company, p_size || ' mln' AS salary, n_name AS location FROM p WHERE v = 0
+UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-1', p_name || ' sotuvchi', {_FIRM} || ' firmasi', p_size || ' mln', n_name FROM p WHERE v = 1
+UNION ALL SELECT 'https://t.me/vacancies/' || k || '#role-2', 'Kassir', {_FIRM} || ' firmasi', '4 mln', n_name FROM p WHERE v = 1
+UNION ALL SELECT 'https://t.me/vacancies/' || k, p_name || ' / Farrosh', NULL, 'kelishiladi', n_name FROM p WHERE v = 2""")
+def channel_vacancies(spark, sf_dir):
+    """Messages of a channel by its rule."""
+    return channel_jobs(channel_messages(spark, sf_dir)).select("url", "title", "company", "salary", "location")
+
+
+@query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
+def replay_counts(spark, sf_dir):
+    """How many messages of the channel were read, skipped, and how many jobs came of them."""
+    messages = channel_messages(spark, sf_dir)
+    return jobs.replay_report(jobs.by_message(messages, channel_jobs(messages)))
+
+
+@query("""SELECT kind, id, sample FROM (
+(SELECT 'failure' AS kind, p_partkey AS id, '#ish' || chr(10) || 'Yangiliklar' AS sample FROM part WHERE p_partkey % 4 = 3 ORDER BY p_partkey LIMIT 20)
+UNION ALL (SELECT 'example', id, sample FROM (SELECT p_partkey AS id, i, CASE WHEN p_partkey % 4 = 1 AND i = 1 THEN 'Kassir' WHEN p_partkey % 4 = 1 THEN p_name || ' sotuvchi' WHEN p_partkey % 4 = 2 THEN p_name || ' / Farrosh' ELSE p_name END AS sample
+ FROM part, (VALUES (1), (2)) t(i) WHERE p_partkey % 4 IN (0, 1, 2) AND (i = 1 OR p_partkey % 4 = 1)) ORDER BY id, i LIMIT 5))""")
+def coverage_samples(spark, sf_dir):
+    """The first messages without a job, and the titles of the first jobs."""
+    messages = channel_messages(spark, sf_dir)
+    found = jobs.coverage_samples(jobs.by_message(messages, channel_jobs(messages)))
+    return found.select("kind", "id", F.when(F.col("kind") == "example", F.get_json_object("sample", "$.title")).otherwise(F.col("sample")).alias("sample"))
 
 
 @query("""SELECT doc_id, split_part(text, chr(10), 1) <> '' AND text <> '' AS ok, CASE WHEN split_part(text, chr(10), 1) <> '' AND text <> '' THEN 'https://t.me/' || source || '/' || doc_id END AS url FROM documents""")

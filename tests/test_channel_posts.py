@@ -43,3 +43,10 @@ def test_links_of_a_message(spark):
     df = spark.createDataFrame([(["(https://a.example/x)", "ftp://b", "https://t.me/Other/3", "https://telegram.me/s/chan?x"], "see https://a.example/x, t.me/chan/7 http://c.example!", "https://t.me/chan/9"), (None, None, None)], "l array<string>, t string, u string")
     got = df.select(message_links(F.col("l"), F.col("t"), F.array(F.lit("@Chan"), F.lit(None).cast("string")), F.col("u")).alias("x")).collect()
     assert [r.x for r in got] == [["https://a.example/x", "https://t.me/Other/3", "http://c.example"], []]
+
+
+def test_reports_of_no_messages(spark):
+    from postmill.operators import jobs
+
+    none = spark.createDataFrame([], "id bigint, text string, jobs array<struct<title:string,salary:string,location:string>>")
+    assert jobs.coverage_samples(none).collect() == [] and tuple(jobs.replay_report(none).first()) == (0, 0, 0)
