@@ -24,7 +24,7 @@ BLOCK = "struct<lines:array<string>,plain:array<string>,partial:boolean>"
 
 def tidy(c: Column) -> Column:
     """Blanks collapsed and decoration in front removed."""
-    plain = trim_control(F.regexp_replace(F.translate(c, " ​", "  "), r"\s+", " "))
+    plain = trim_control(F.regexp_replace(F.translate(c, "\u00a0\u200b", "  "), r"\s+", " "))
     return trim_control(F.regexp_replace(plain, PREFIX, ""))
 
 
@@ -149,7 +149,7 @@ def render(footer: str | None = None) -> Column:
     label = lambda k: F.when(cyrillic, CYRILLIC[k]).otherwise(LATIN[k])
     listed = lambda x: F.coalesce(c(x), F.array().cast("array<string>"))
     phone, user, link = listed("contact_phone_numbers"), listed("contact_telegram_usernames"), listed("contact_links")
-    head = trim_control(F.regexp_replace(F.translate(c("title"), " ​", "  "), r"\s+", " "))
+    head = trim_control(F.regexp_replace(F.translate(c("title"), "\u00a0\u200b", "  "), r"\s+", " "))
     blocks = F.array(
         F.when(head != "", block(F.array(F.concat(F.lit("🔥 <b>"), escape_html(head), F.lit("</b>"))), F.array(F.concat(F.lit("🔥 "), head)), False)),
         fields([("🏢", label("company"), c("company")), ("💸", label("salary"), c("salary")), ("📍", label("location"), c("location")), ("🕒", label("work_schedule"), c("work_schedule"))]),

@@ -166,12 +166,12 @@ def vacancies(messages: DataFrame) -> DataFrame:
     nor do those without a title. A heading that announces several roles gives a job for each role heading below it (two at
     least), with the lines up to the next one and the contacts at the end; else a message is one job. Staged in selects; no
     shuffle. The rows are written before those without a title go, so that no filter is pushed into the expressions."""
-    text = strip(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), " ​", "  "), r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
+    text = strip(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\u00a0\u200b", "  "), r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
     s = messages.withColumn("_text", text).withColumn("_low", F.lower("_text"))
     wanted = F.lit(False)
     for pattern in SIGNALS:
         wanted = wanted | F.col("_low").rlike("(?U)" + pattern)
-    lines = nonempty(F.transform(F.split("_text", "[\n\x0b\x0c\x1c\x1d\x1e\x85  ]"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))))
+    lines = nonempty(F.transform(F.split("_text", "[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))))
     s = s.withColumn("_texts", lines)
     tags = F.flatten(F.transform(F.slice("_texts", 1, 3), lambda x: F.regexp_extract_all(F.lower(x), F.lit(TAG), F.lit(0))))
     s = s.withColumn("_fine", wanted & ~contains_any(F.col("_low"), OTHER_PHRASES) & ~F.arrays_overlap(tags, F.array(*map(F.lit, OTHER_TAGS))) & (F.size("_texts") > 0))

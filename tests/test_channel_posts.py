@@ -50,3 +50,27 @@ def test_reports_of_no_messages(spark):
 
     none = spark.createDataFrame([], "id bigint, text string, jobs array<struct<title:string,salary:string,location:string>>")
     assert jobs.coverage_samples(none).collect() == [] and tuple(jobs.replay_report(none).first()) == (0, 0, 0)
+
+
+def notice_rows(spark, *texts):
+    from postmill.operators.listing_posts import notices
+
+    r = Registry()
+    r.register("notices", "@xorazm_ish", "notices", notices)
+    return {int(x.url.split("/")[-1]): x for x in r.ingest(messages(spark, *texts)).collect()}
+
+
+def test_notices_become_jobs(spark):
+    labelled = "YANGI ISH\n💼 Ish lavozimi: Kassir\n🏢 Ish beruvchi: Anor savdo\n📍 Manzil: Urganch\n🎯 Mo'ljal: bozor yoni\n💰 Ish haqi: 3 mln so'm\n• bonus 10%\n☎ +998 90 111 22 33"
+    listed = "ISH BOR\nBo'sh ish o'rinlari:\n• Ofitsiant\n• Oshpaz (ayol)\n• Kassir\nManzil:\nXonqa tumani\nIsh joyi: Bahor restorani\nMaosh:\nkelishilgan\nTel: +998901112233"
+    invited = "Guliston kafesiga oshpaz ishga taklif qilinadi!\nHudud: Gurlan\nKunlik 150 ming"
+    headed = "«Nur» do'koni\nIshga taklif qilinadi\nSotuvchi\nTalablar:\n• tajriba\nOylik kelishiladi"
+    texts = [labelled, listed, invited, headed, None, "salom do'stlar", "#kurs\n" + labelled, "Onlayn dars " + labelled, "Manzil: X\nOylik: 1"]
+    got = notice_rows(spark, *texts)
+    assert set(got) == {0, 1, 2, 3}
+    a, b, c, d = (got[i] for i in range(4))
+    assert (a.title, a.company, a.location, a.salary) == ("Kassir", "Anor savdo", "Urganch (bozor yoni)", "3 mln so'm; • bonus 10%")
+    assert (b.title, b.company, b.location, b.salary) == ("Ofitsiant / Oshpaz (ayol) / Kassir", "Bahor restorani", "Xonqa tumani", "kelishilgan")
+    assert (c.title, c.company, c.location, c.salary) == ("Guliston kafesiga oshpaz ishga taklif qilinadi", "Guliston kafe", "Gurlan", "150 ming")
+    assert (d.title, d.company, d.salary) == ("Sotuvchi", "Nur", "kelishiladi")
+    assert d.contact_links == ["https://forms.example/a"] and d.description == headed
