@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts, hashing, lines, text
-from ..operators import about_details, caption, channel_posts, dedup, jobs, narrative, publication, semi_structured
+from ..operators import about_details, caption, channel_posts, dedup, jobs, listing_posts, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
 from ..operators.source_details import source_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured
@@ -348,6 +348,24 @@ def channel_vacancies(spark, sf_dir):
     return channel_jobs(channel_messages(spark, sf_dir)).select("url", "title", "company", "salary", "location")
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/notices/' || k AS url, CASE v WHEN 0 THEN p_name WHEN 1 THEN p_name || ' kassir / Oshpaz' ELSE {_FIRM} || ' kafesiga oshpaz kerak' END AS title, CASE v WHEN 2 THEN {_FIRM} || ' kafe' ELSE {_FIRM} END AS company,
+ CASE WHEN v <> 2 THEN p_size || ' mln' END AS salary, CASE WHEN v <> 2 THEN n_name END AS location FROM p WHERE v < 3""")
+def notice_vacancies(spark, sf_dir):
+    """Messages of a channel of notices by its rule: labelled, with a list of roles, an invitation alone, and an advertisement."""
+    v, firm = F.col("p_partkey") % 4, _text("Firma", "$s_suppkey")
+    facts = _text("\nManzil: ", "$n_name", "\nMaosh: ", "$p_size", " mln")
+    told = (
+        F.when(v == 0, _text("YANGI ISH\nIsh lavozimi: ", "$p_name", "\nIsh beruvchi: ", firm, facts)).when(v == 1, _text("Bo'sh ish o'rinlari:\n• ", "$p_name", " kassir\n• Oshpaz\nIsh beruvchi: ", firm, facts))
+        .when(v == 2, _text(firm, " kafesiga oshpaz kerak")).otherwise("#reklama\nOshpaz kerak")
+    )
+    posts = posts_of(spark, sf_dir, "notices", F.lit(""), told)
+    messages = posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.col("description").alias("text"), "url", "contact_links", F.lit("notices").alias("channel"))
+    registry = jobs.Registry()
+    registry.register("notices", "notices", "notices", listing_posts.notices)
+    return registry.ingest(messages).select("url", "title", "company", "salary", "location")
+
+
 @query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
 def replay_counts(spark, sf_dir):
     """How many messages of the channel were read, skipped, and how many jobs came of them."""
