@@ -393,9 +393,13 @@ def json_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.col("job").isNotNull().alias("ok"), "job.url")
 
 
-@query()
+@query(f"""WITH {ADS_SQL} SELECT 'https://t.me/src_ads/' || k AS source_url, '🔥 <b>' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '</b>' || chr(10) || chr(10)
+ || CASE v WHEN 6 THEN '🏢 <b>Компания:</b> ' ELSE '🏢 <b>Kompaniya:</b> ' END || s_name || chr(10) || CASE v WHEN 6 THEN '💸 <b>Маош:</b> ' ELSE '💸 <b>Maosh:</b> ' END || p_size || ' 000 000 so''m' || chr(10)
+ || CASE v WHEN 6 THEN '📍 <b>Манзил:</b> ' ELSE '📍 <b>Manzil:</b> ' END || n_name || chr(10) || CASE v WHEN 6 THEN '🕒 <b>Иш вақти:</b> ' ELSE '🕒 <b>Ish vaqti:</b> ' END || '09:00 - 18:00' || chr(10) || chr(10)
+ || '💬 <b>Telegram:</b>' || chr(10) || '• @hr_' || s_suppkey || chr(10) || chr(10) || CASE v WHEN 6 THEN '☎️ <b>Телефон:</b>' ELSE '☎️ <b>Telefon:</b>' END || chr(10) || '• +99890' || lpad(k::VARCHAR, 7, '0') || chr(10) || chr(10) || '@ads_channel' AS caption
+FROM ads WHERE v IN (0, 6)""")
 def caption_render(spark, sf_dir):
-    """Captions of the parsed ads; no caption is longer than the limit. Tested against expected captions."""
+    """Captions of the parsed ads, labelled in the script of the post; no caption is longer than the limit."""
     table = jobs.parsed_jobs(raw_ads(spark, sf_dir), F.lit("2024-01-01").cast("timestamp"))
     return table.select("source_url", caption.render("ads_channel").alias("caption"))
 
