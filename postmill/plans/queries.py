@@ -91,11 +91,13 @@ def source_post_hash(spark, sf_dir):
     return d.select("doc_id", hashing.source_post_hash(F.col("source"), F.col("url")).alias("post_hash"))
 
 
-@query(f"""SELECT doc_id, sha256(concat_ws('|', {_NORM.format('source')}, {_NORM.format("split_part(text, chr(10), 1)")}, '', '', '', '', '', '', '', '', '', '', '', '', {_NORM.format('text')})) AS content_hash FROM documents""")
+@query(f"""SELECT doc_id, sha256(concat_ws('|', {_NORM.format('source')}, {_NORM.format("split_part(text, chr(10), 1)")}, '', '', '', {_NORM.format('lang')}, '', '', 'b ' || lang, '', '', array_to_string(list_sort([source, lang, 'm']), '|'), '', lang, {_NORM.format('text')})) AS content_hash FROM documents""")
 def dedup_hash_full(spark, sf_dir):
-    d = raw_documents(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    details = {c: none for c in ("requirements", "responsibilities", "benefits", "additional", "work_schedule", "contact_text")} | {c: F.array().cast("array<string>") for c in ("contact_phone_numbers", "contact_telegram_usernames", "contact_links")}
+    """The content hash of all documents, with details in some fields: texts are normalised, lists sorted."""
+    d = raw_documents(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    details = {c: none for c in ("requirements", "responsibilities", "benefits", "additional", "work_schedule", "contact_text")} | {c: empty for c in ("contact_phone_numbers", "contact_telegram_usernames", "contact_links")}
+    details |= {"requirements": F.concat(F.lit("  "), F.upper("lang")), "additional": F.concat(F.lit("B\t "), "lang"), "contact_phone_numbers": F.array("source", "lang", F.lit("m")), "contact_links": F.array("lang")}
     return d.select("doc_id", hashing.dedup_hash(F.col("title"), none, none, none, F.col("source"), F.col("url"), F.col("description"), details).alias("content_hash"))
 
 
@@ -148,11 +150,13 @@ def latest_publish_merge(spark, sf_dir):
     return publication.merge_latest_published(c, o)
 
 
-@query("""SELECT l_orderkey AS job_id, l_returnflag AS channel_chat_id, min(l_shipdate) AS published_at FROM lineitem WHERE l_linenumber > 1
-AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_linenumber = 1 AND x.l_orderkey = lineitem.l_orderkey AND x.l_returnflag = lineitem.l_returnflag) GROUP BY ALL""")
+@query("""SELECT id, job_id, channel_chat_id, published_at FROM (SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS job_id, l_returnflag AS channel_chat_id, l_shipdate AS published_at,
+row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate, l_orderkey || '-' || l_linenumber) AS r FROM lineitem WHERE l_linenumber > 1)
+WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_linenumber = 1 AND x.l_orderkey = job_id AND x.l_returnflag = channel_chat_id)""")
 def mark_published(spark, sf_dir):
+    """The posts that are added: the first of each job and chat, unless it is there already."""
     li = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("channel_chat_id"), F.col("l_shipdate").alias("published_at"))
-    return publication.new_posts(li.where("n = 1").drop("n"), li.where("n > 1").drop("n")).groupBy("job_id", "channel_chat_id").agg(F.min("published_at").alias("published_at"))
+    return publication.new_posts(li.where("n = 1").drop("n"), li.where("n > 1").drop("n"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -384,13 +388,15 @@ def coverage_samples(spark, sf_dir):
     return found.select("kind", "id", F.when(F.col("kind") == "example", F.get_json_object("sample", "$.title")).otherwise(F.col("sample")).alias("sample"))
 
 
-@query("""SELECT doc_id, split_part(text, chr(10), 1) <> '' AND text <> '' AS ok, CASE WHEN split_part(text, chr(10), 1) <> '' AND text <> '' THEN 'https://t.me/' || source || '/' || doc_id END AS url FROM documents""")
+@query("""SELECT doc_id, ok, CASE WHEN ok THEN 'https://t.me/' || source || '/' || doc_id END AS url, CASE WHEN ok THEN split_part(text, chr(10), 1) END AS title, CASE WHEN ok THEN text END AS description, CASE WHEN ok THEN source END AS source,
+CASE WHEN ok THEN 'l1,' || doc_id END AS links FROM (SELECT *, split_part(text, chr(10), 1) <> '' AND text <> '' AS ok FROM documents)""")
 def json_roundtrip(spark, sf_dir):
+    """All fields of raw jobs after encoding and decoding; a job without a required field is not decoded."""
     d = raw_documents(spark, sf_dir).withColumn("posted_at", F.lit("2024-01-01").cast("timestamp")).withColumn("company", F.lit(None).cast("string"))
-    d = d.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("title", "description")})
-    value = F.to_json(F.struct("title", "company", "description", "source", "url", "posted_at"))
+    d = d.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("title", "description")} | {"contact_links": F.array(F.lit("l1"), F.col("doc_id").cast("string"))})
+    value = F.to_json(F.struct("title", "company", "description", "source", "url", "posted_at", "contact_links"))
     back = d.select("doc_id", decode_raw(value).alias("job"))
-    return back.select("doc_id", F.col("job").isNotNull().alias("ok"), "job.url")
+    return back.select("doc_id", F.col("job").isNotNull().alias("ok"), "job.url", "job.title", "job.description", "job.source", F.when(F.col("job").isNotNull(), F.array_join("job.contact_links", ",")).alias("links"))
 
 
 @query(f"""WITH {ADS_SQL} SELECT 'https://t.me/src_ads/' || k AS source_url, '🔥 <b>' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '</b>' || chr(10) || chr(10)
