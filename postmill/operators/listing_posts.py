@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,41 @@ SUMMARIES = r"\b(?:ish\s+bor|ishga\s+taklif|ishga\s+qabul|kerak|qidirmoqda|izlay
 TARGETS = r"\b(?:yigit(?:lar|larni)?|qiz(?:lar|larni)?|ayol(?:lar|larni)?|erkak(?:lar|larni)?|talaba(?:lar|larni)?|xodim(?:lar|larni)?)\b"
 
 
+@dataclass(frozen=True)
+class City:
+    """What the notices of a city's channel have of their own: phrases that are no vacancies, more labels, and links to leave out."""
+
+    phrases: tuple[str, ...] = ()
+    salaries: tuple[str, ...] = ()
+    addresses: tuple[str, ...] = ()
+    free_places: tuple[str, ...] = ()
+    invitation_links: str | None = None
+
+
+# Fixed values of two city channels, and of city channels in general.
+CITIES = {
+    "ishchi_bor_kerak_toshkent": City(
+        ("android va ios uchun o'z dasturimizni chiqardik", "playmarket va appstore orqali yuklab oling", "ish beruvchimiz o'zlariga kereli bo'gan ishchilarni", "ish beruvchimiz o'zlariga kereli bo'lgan ishchilarni"),
+        invitation_links="asosiy kanal",
+    ),
+    "ishbor_toshkent_kerak_ishchi_bor": City(
+        ("uyda o'tirgan holda ishlashga taklif qilaman", "faberlic emas", "oriflame emas", "online daromad", "kapital depazit kiritmaysiz", "telegram orqali yuklarni bog'laysiz", "kursimga 70% chegirma"),
+        (LEAD + r"(?:daromad|to['’`]?lov|tolov|ish\s+haqqi|ish\s+xaqqi)\s*[:\-]?\s*(.*)$",), (LEAD + r"(?:adres|address)\s*[:\-]?\s*(.*)$",), ("hududni o'zingiz belgilaysiz", "hududni o'zingiz tanlaysiz"),
+    ),
+}
+CITY_COMPANIES = [*COMPANIES, "trading", "logistics", "logistic", "tsex", "sex", "sklad", "ombor", "zavod", "fabrika", "factory", "ishlab chiqarish", "savdo markazi", "savdo uyi", "distrib", "distribut", "taxi", "yandex", "clinic", "hotel"]
+CITY_TITLES = [*TITLES, r"^(?:[\W_]+\s*)?(?:bo['’`]?sh\s+ish\s+o['’`]?rni|rol|position)\s*[:\-]?\s*(.*)$"]
+DIRECT = r"^(.+?(?:kompaniyasi|kompaniya|firmasi|korxonasi|zavodi|markazi|tsexi|sexi|skladi|ombori|restorani|kafesi|kafe|hotel|trading|logistics|logistic|taxi|market|mchj))\s*(.+?)?\s*(?:ishga\s+|ишга\s+)?(?:taklif\s+qil(?:adi|amiz)|taklif\s+et(?:adi|amiz)|qabul\s+qil(?:adi|amiz|inadi)|qabul\s+qilin(?:adi|amiz))"
+CASES = {
+    "kompaniyasiga": "kompaniyasi", "kompaniyaga": "kompaniya", "firmasiga": "firmasi", "firmaga": "firma", "korxonasiga": "korxonasi", "korxonaga": "korxona", "markaziga": "markazi", "markazga": "markaz", "filialiga": "filiali",
+    "filiallariga": "filiallari", "bo'limiga": "bo'limi", "tsexiga": "tsexi", "sexiga": "sexi", "zavodiga": "zavodi", "skladiga": "skladi", "ofisiga": "ofisi", "offisiga": "offisi", "restoraniga": "restorani", "kafega": "kafe", "og'chasiga": "bog'chasi",
+}
+#: Endings that a lazy pattern may have cut off: (the case in the line, the name's end, what is put back).
+PUT_BACK = [("kompaniyasiga", "kompaniya", "si"), ("firmasiga", "firma", "si"), ("korxonasiga", "korxona", "si"), ("markaziga", "markaz", "i"), ("zavodiga", "zavod", "i"), ("tsexiga", "tsex", "i"), ("sexiga", "sex", "i"), ("skladiga", "sklad", "i"), ("ofisiga", "ofis", "i")]
+COMPACT = r"\s*[📍🔹🔸▪▫•]+\s*"
+LATER = ["tel", "telegram", "murojaat", "aloqa"]
+
+
 def matches(c: Column, *patterns: str) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -264,11 +301,11 @@ def title_in(m: Column) -> Column:
     return F.when(~m.section & ~m.field, F.when(matches(line, ROLE_AT) | matches(line, ROLE_ALONE), m.heading).when(line.rlike(QUOTED) & matches(quoted, ROLES), title_of(quoted)).when(matches(line, RUSSIAN) | matches(plain(line), ENGLISH), m.heading))
 
 
-def labelled_title() -> Column:
+def labelled_title(patterns: list[str] = TITLES, labels=is_field) -> Column:
     def one(m: Column, i: Column) -> Column:
         next_ = F.get(F.col("_lines"), i + 1).title
-        below = F.when(F.coalesce(next_ != "", F.lit(False)) & ~is_field(next_), next_)
-        return F.coalesce(*(F.when(m.text.rlike(ANY + p), F.coalesce(filled(title_of(part(m.text, p))), below)) for p in TITLES))
+        below = F.when(F.coalesce(next_ != "", F.lit(False)) & ~labels(next_), next_)
+        return F.coalesce(*(F.when(m.text.rlike(ANY + p), F.coalesce(filled(title_of(part(m.text, p))), below)) for p in patterns))
 
     return F.get(F.array_compact(F.transform("_lines", one)), F.lit(0))
 
@@ -293,20 +330,108 @@ def join_roles(roles: Column) -> Column:
     return let(F.array_distinct(nonempty(roles)), lambda r: F.when(F.size(r) > 5, F.concat(F.array_join(F.slice(r, 1, 5), " / "), F.lit(" +"), (F.size(r) - 5).cast("string"))).when(F.size(r) > 0, F.array_join(r, " / ")))
 
 
-def notices(messages: DataFrame) -> DataFrame:
+def read_city_line(city: City):
+    """``read_line`` for a city's channel: all signs at the front of a line go before it is looked at."""
+    labels = lambda c: matches(c, *city.addresses, *city.salaries, *COMPANY_FIELDS, *ADDRESSES, *REGIONS, *LANDMARKS, *SALARIES, *TITLES)
+
+    def read(line: Column) -> Column:
+        whole = lambda c: line.startswith("👉 @") | F.lower(line).isin(NOISE_LINES) | line.rlike(DECORATION)
+        bullet = F.substring(line, 1, 1).isin([*LIST_BULLETS]) | line.rlike(r"^\s*\d+[.)]")
+
+        def facts(m: Column) -> Column:
+            named = m.named | (bullet & (m.title != "") & ~m.section & ~m.contact & ~matches(m.title, PLACES) & (F.length(m.title) <= 80) & ~contains_any(F.lower(m.title), PRAISE))
+            hinted = m.hinted | (named & matches(m.title, ROLES) & bullet)
+            return F.struct(
+                line.alias("text"), m.title, m.heading, bullet.alias("bullet"), whole(line).alias("noise"), (whole(line) | m.no_heading).alias("no_heading"), m.section, labels(line).alias("field"), m.contact,
+                named.alias("named"), hinted.alias("hinted"), m.heads, matches(line, INVITATION).alias("invites"), matches(line, *LISTS).alias("lists"), m.short,
+            )
+
+        return let(read_line(F.regexp_replace(line, r"(?U)^[\s\W_]+", "")), facts)
+
+    return read
+
+
+def city_company(line: Column, fragment: Column) -> Column:
+    """A company's name in its base form; what a case ending of the line shows is put back."""
+    out = heading_of(fragment)
+    for case, base in CASES.items():
+        out = F.regexp_replace(out, rf"(?iuU)\b{case}\b", base)
+
+    def whole(x: Column) -> Column:
+        put = x
+        for case, end, back in reversed(PUT_BACK):
+            put = F.when(F.contains(F.lower(fragment), F.lit(case)) & F.lower(x).endswith(end), F.concat(x, F.lit(back))).otherwise(put)
+        return put
+
+    base = filled(ends(F.regexp_replace(let(out, whole), rf"(?iuU)(?:{TO})$", ""), " -:;,."))
+
+    def again(x: Column) -> Column:
+        put = x
+        for case, end, back in reversed(PUT_BACK[:6]):
+            put = F.when(F.contains(F.lower(line), F.lit(case)) & F.lower(x).endswith(end), F.concat(x, F.lit(back))).otherwise(put)
+        return put
+
+    return let(base, again)
+
+
+def city_company_in(m: Column) -> Column:
+    line = m.text
+
+    def sure(company: Column, title: Column) -> Column:
+        """A name that is known for one, or of three words and more that differ from the title."""
+        vague = matches(company, TARGETS) | contains_any(F.lower(company), ["ishga", "taklif"])
+        long = (F.size(F.split(company, r"\s+")) >= 3) & (F.coalesce(title, F.lit("")) != "") & ~F.contains(company, F.lit(",")) & (F.length(company) <= 60) & ~F.lower(company).startswith(F.lower(F.coalesce(title, F.lit("?"))))
+        return F.when(~vague & (contains_any(F.lower(company), CITY_COMPANIES) | long), company)
+
+    none = F.lit(None).cast("string")
+    pick = lambda pattern, title: F.when(matches(line, pattern), let(city_company(line, part(line, pattern)), lambda x: sure(x, title)))
+    return F.coalesce(
+        F.when(line.rlike(QUOTED), city_company(line, F.regexp_extract(line, QUOTED, 1))), F.when(matches(line, OFFERS), city_company(line, part(line, OFFERS))),
+        pick(DIRECT, title_of(part(line, DIRECT, 2))), pick(ROLE_AT, title_of(part(line, ROLE_AT, 2))), pick(INVITED_TO, none), let(place_name(line), lambda x: sure(x, none)),
+    )
+
+
+def city_title_in(m: Column) -> Column:
+    line = m.text
+    said = lambda pattern, group: let(title_of(part(line, pattern, group)), lambda x: F.when((x != "") & ~is_vague(x), x).otherwise(m.heading))
+    return F.when(~m.section & ~m.field, F.when(matches(line, ROLE_AT), said(ROLE_AT, 2)).when(matches(line, ROLE_ALONE), said(ROLE_ALONE, 1)))
+
+
+def compact_roles(text: Column) -> Column:
+    """The roles of a line that lists them behind signs, else the line's own."""
+    several = F.size(F.regexp_extract_all(text, F.lit(COMPACT), F.lit(0))) >= 2
+    return nonempty(F.when(several, F.transform(F.split(text, COMPACT), title_of)).otherwise(F.array(title_of(text))))
+
+
+def city_place(patterns: list[str]) -> Column:
+    """The value of the first such label with the lines below it, up to a field, a section or a contact."""
+
+    def values(m: Column, i: Column, pattern: str) -> Column:
+        first = value_of(part(m.text, pattern))
+        below = F.filter(lines_from(i + 1), lambda x: ~x.noise & (value_of(x.text) != ""))
+        stops = lambda x, n: x.field | x.section | x.contact | (n & contains_any(F.lower(value_of(x.text)), LATER))
+        more = F.transform(take_until(below, lambda x: stops(x, F.lit(True) if pattern is None else first != "")), lambda x: value_of(x.text))
+        return F.when(m.text.rlike(ANY + pattern), nonempty(F.concat(F.array(first), more)))
+
+    every = F.flatten(F.transform("_lines", lambda m, i: F.array(*(values(m, i, p) for p in patterns))))
+    return filled(ends(F.array_join(F.array_distinct(F.get(F.filter(every, lambda x: x.isNotNull() & (F.size(x) > 0)), F.lit(0))), "; "), " -:;,."))
+
+
+def notices(messages: DataFrame, city: City | None = None) -> DataFrame:
     """Raw jobs of messages (text, url, date, contact_links, channel, source): a rule for ``Registry.register``.
 
     Messages without signs of a vacancy, with blocked phrases or another tag in their first four lines give none, nor do those
-    without a title; all others give one. Staged in selects, without a shuffle; the rows are written before those without
+    without a title; all others give one. ``city`` takes what a city's channel has of its own. Staged in selects, without a shuffle; the rows are written before those without
     a title go, so that no filter is pushed into the expressions."""
     text = strip(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\u00a0\u200b\ufe0f", "  "), r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
+    text = F.translate(text, "‘’ʻʼ`", "'" * 5) if city else text
     s = messages.withColumn("_text", text).withColumn("_low", F.lower("_text"))
     signs = sum((F.contains("_low", F.lit(x)).cast("int") for x in SIGNS), F.lit(0))
-    wanted = ~contains_any(F.col("_low"), OTHER_PHRASES) & (matches(F.col("_text"), *SIGNALS) | (signs >= 3))
+    wanted = ~contains_any(F.col("_low"), [*OTHER_PHRASES, *(city.phrases if city else ())]) & (matches(F.col("_text"), *SIGNALS) | (signs >= 3))
     s = s.withColumn("_texts", nonempty(F.transform(F.split("_text", "[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " ")))))
     tags = F.flatten(F.transform(F.slice("_texts", 1, 4), lambda x: F.regexp_extract_all(F.lower(x), F.lit(TAG), F.lit(0))))
     s = s.withColumn("_fine", wanted & ~F.arrays_overlap(tags, F.array(*map(F.lit, OTHER_TAGS))) & (F.size("_texts") > 0))
-    s = s.withColumn("_lines", F.transform(F.when(F.col("_fine"), F.col("_texts")).otherwise(F.array().cast("array<string>")), read_line))
+    s = s.withColumn("_lines", F.transform(F.when(F.col("_fine"), F.col("_texts")).otherwise(F.array().cast("array<string>")), read_city_line(city) if city else read_line))
     at = let(position(F.col("_lines"), lambda m: ~m.no_heading), lambda i: F.when(i < F.size("_lines"), i).otherwise(0))
     s = s.withColumns({"_at": at, "_list": found_at(lambda m: m.lists), "_marker": marker()})
     s = s.withColumn("_head", F.get(F.col("_lines"), F.col("_at")))
@@ -317,24 +442,36 @@ def notices(messages: DataFrame) -> DataFrame:
     # the heading, then the first six lines
     first = F.filter(F.slice("_lines", 1, 6), lambda m: ~m.noise & (m.text != F.col("_head.text")))
     s = s.withColumn("_roles", nonempty(F.array_distinct(F.when(F.col("_from").isNotNull(), announced).otherwise(loose)))).withColumn("_context", F.concat(F.array("_head"), first))
+    if city:
+        below = F.flatten(F.transform(F.slice("_lines", F.coalesce(F.col("_list"), F.lit(0)) + 2, F.lit(3)), lambda m: compact_roles(m.text)))
+        spread = F.when(F.size("_roles") > 0, F.flatten(F.transform("_roles", compact_roles))).when(F.col("_list").isNotNull(), below).otherwise(F.col("_roles"))
+        s = s.withColumn("_roles", F.array_distinct(spread))
+        s = s.withColumn("_context", F.array_distinct(F.concat("_context", F.filter(F.slice("_lines", 1, 8), lambda m: ~m.noise))))
     inline = F.flatten(F.transform("_lines", lambda m: F.array(*(F.when(m.text.rlike(ANY + p), filled(ends(heading_of(part(m.text, p)), " -:;,."))) for p in COMPANY_FIELDS))))
     inline = F.get(F.filter(inline, lambda x: x.isNotNull() & ~matches(x, PLACES)), F.lit(0))
-    of_context = F.get(F.array_compact(F.transform(F.filter("_context", lambda m: ~m.field), company_in)), F.lit(0))
+    of_context = F.get(F.array_compact(F.transform(F.filter("_context", lambda m: ~m.field), city_company_in if city else company_in)), F.lit(0))
     branch = F.transform(F.slice("_lines", 1, 6), lambda m: let(plain(m.text), lambda x: F.when(matches(x, BRANCH), filled(value_of(part(x, BRANCH))))))
     branch = F.get(F.filter(branch, lambda x: x.isNotNull() & ~contains_any(F.lower(x), COMPANIES)), F.lit(0))
     s = s.withColumns({
-        "_company": F.coalesce(inline, of_context), "_label": labelled_title(), "_summary": summary_title(), "_said": F.get(F.array_compact(F.transform("_context", title_in)), F.lit(0)),
-        "_base": F.coalesce(field(ADDRESSES), field(REGIONS), branch), "_mark": field(LANDMARKS), "_pay": field(SALARIES, salary=True),
+        "_company": F.coalesce(inline, of_context), "_label": labelled_title(CITY_TITLES) if city else labelled_title(), "_summary": summary_title(),
+        "_said": F.get(F.array_compact(F.transform("_context", city_title_in if city else title_in)), F.lit(0)),
+        "_base": F.coalesce(city_place([*city.addresses, *ADDRESSES]), city_place(REGIONS), branch) if city else F.coalesce(field(ADDRESSES), field(REGIONS), branch),
+        "_mark": city_place(LANDMARKS) if city else field(LANDMARKS), "_pay": field([*(city.salaries if city else ()), *SALARIES], salary=True),
     })
     invited = F.coalesce(F.get(F.col("_lines"), F.col("_at") + 1).invites, F.lit(False))
     title = F.coalesce(
         "_label", F.when((F.size("_roles") != 1) & (F.size("_roles") > 0), join_roles(F.col("_roles"))), "_summary", join_roles(F.col("_roles")), F.when(invited, F.col("_head.title")), "_said",
         F.when(~F.col("_head.no_heading"), F.col("_head.title")),
     )
-    base = F.when(~(contains_any(F.lower("_base"), COMPANIES) & ~matches(F.col("_base"), PLACES)), F.col("_base"))
+    base = F.when(~(contains_any(F.lower("_base"), CITY_COMPANIES if city else COMPANIES) & ~matches(F.col("_base"), PLACES)), F.col("_base"))
     s = s.withColumns({"_title": strip(title), "_place": base})
     place = F.when(F.col("_place").isNotNull() & F.col("_mark").isNotNull(), F.concat("_place", F.lit(" ("), "_mark", F.lit(")"))).otherwise(F.coalesce("_place", "_mark"))
+    if city and city.free_places:
+        free = F.get(F.filter(F.transform("_lines", lambda m: value_of(m.text)), lambda x: contains_any(F.lower(x), city.free_places)), F.lit(0))
+        place = F.coalesce(place, F.regexp_replace(free, r"[!.,]+$", ""))
     links = message_links(F.col("contact_links"), F.col("text"), F.array("channel", "source"), F.col("url"))
+    if city and city.invitation_links:
+        links = F.filter(links, lambda x: ~(x.startswith("https://t.me/+") & F.contains(F.lower("text"), F.lit(city.invitation_links))))
     out = s.select(
         F.col("_title").alias("title"), F.col("_company").alias("company"), F.col("_text").alias("description"), F.col("_pay").alias("salary"), place.alias("location"), "source", "url",
         F.coalesce("date", F.current_timestamp()).alias("posted_at"), links.alias("contact_links"), F.col("_fine"),

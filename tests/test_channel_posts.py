@@ -74,3 +74,25 @@ def test_notices_become_jobs(spark):
     assert (c.title, c.company, c.location, c.salary) == ("Guliston kafesiga oshpaz ishga taklif qilinadi", "Guliston kafe", "Gurlan", "150 ming")
     assert (d.title, d.company, d.salary) == ("Sotuvchi", "Nur", "kelishiladi")
     assert d.contact_links == ["https://forms.example/a"] and d.description == headed
+
+
+def test_notices_of_city_channels(spark):
+    from postmill.operators.listing_posts import CITIES, notices
+
+    one, two = CITIES["ishchi_bor_kerak_toshkent"], CITIES["ishbor_toshkent_kerak_ishchi_bor"]
+    plain = "✅ Nur logistics kompaniyasiga haydovchi ishga taklif qilinadi\nManzil: Chilonzor\nmetro yonida\nMo`ljal: bozor\nOylik: 5 mln\nAsosiy kanal https://t.me/+abc\nTel: +998901112233"
+    listed = "Bo‘sh ish o‘rinlari:\n🔹 Kassir 🔹 Oshpaz 🔹 Farrosh\nIsh beruvchi: Anor\nDaromad: 3 mln\nTel: +998901112233"
+    free = "Kuryer kerak\nIsh hududni o'zingiz tanlaysiz!\nTel: 901112233"
+
+    def run(city, *texts):
+        rows = messages(spark, *texts).withColumn("source", F.lit("city"))
+        return {int(r.url.split("/")[-1]): r for r in notices(rows, city).collect()}
+
+    got = run(one, plain, "Android va iOS uchun o‘z dasturimizni chiqardik, operator kerak", None)
+    assert set(got) == {0}
+    r = got[0]
+    assert (r.title, r.company, r.location, r.salary) == ("haydovchi", "Nur logistics kompaniyasi", "Chilonzor; metro yonida (bozor)", "5 mln")
+    assert r.contact_links == ["https://forms.example/a"]
+    got = run(two, listed, free)
+    assert (got[0].title, got[0].company, got[0].salary) == ("Kassir / Oshpaz / Farrosh", "Anor", "3 mln")
+    assert (got[1].title, got[1].location) == ("Kuryer", "Ish hududni o'zingiz tanlaysiz")
