@@ -370,6 +370,23 @@ def notice_vacancies(spark, sf_dir):
     return registry.ingest(messages).select("url", "title", "company", "salary", "location")
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/city/' || k AS url, CASE v WHEN 0 THEN p_name || ' kassir' ELSE 'Kuryer' END AS title, CASE v WHEN 0 THEN {_FIRM} || ' kompaniyasi' END AS company, p_size || ' mln' AS salary,
+ CASE v WHEN 0 THEN n_name || '; metro yonida' ELSE 'Ish hududni o''zingiz tanlaysiz' END AS location FROM p WHERE v < 2""")
+def city_vacancies(spark, sf_dir):
+    """Messages of a city's channel by its variant of the notices' rule: places of several lines, own labels and phrases."""
+    v, firm = F.col("p_partkey") % 3, _text("Firma", "$s_suppkey")
+    told = (
+        F.when(v == 0, _text("✅ ", firm, " kompaniyasiga ", "$p_name", " kassir ishga taklif qilinadi\nManzil: ", "$n_name", "\nmetro yonida\nDaromad: ", "$p_size", " mln"))
+        .when(v == 1, _text("Kuryer kerak\nIsh hududni o‘zingiz tanlaysiz!\nTo`lov: ", "$p_size", " mln")).otherwise("Kuryer kerak, online daromad")
+    )
+    posts = posts_of(spark, sf_dir, "city", F.lit(""), told)
+    messages = posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.col("description").alias("text"), "url", "contact_links", F.lit("city").alias("channel"))
+    registry = jobs.Registry()
+    registry.register("city", "city", "city", lambda df: listing_posts.notices(df, listing_posts.CITIES["ishbor_toshkent_kerak_ishchi_bor"]))
+    return registry.ingest(messages).select("url", "title", "company", "salary", "location")
+
+
 @query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
 def replay_counts(spark, sf_dir):
     """How many messages of the channel were read, skipped, and how many jobs came of them."""
