@@ -53,6 +53,14 @@ def test_token_counts_equal_the_library(spark, docs, empty, library):
     assert count_tokens(empty, PATH).collect() == []
 
 
+def test_token_counts_of_a_long_run_without_a_break(library):
+    with open(PATH, "rb") as f:
+        counter = TokenCounter(f.read())
+    rng = np.random.default_rng(1)
+    runs = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5000)), "ab" * 4000, "é" * 3000]
+    assert counter.count(pa.array(runs)).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in runs]
+
+
 def test_records_round_trip(spark, docs, empty, library, tmp_path):
     with open(PATH, "rb") as f:
         ids, sizes = Encoder(f.read()).encode(pa.array([*TRICKY, None]), 2)
