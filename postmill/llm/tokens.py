@@ -95,13 +95,14 @@ class Bpe:
         """Symbols left of each sequence (ids: all sequences' bytes as symbols, one after the other; lens: none is 0).
 
         All sequences advance together: each round merges every occurrence of each sequence's lowest-ranked pair,
-        from the left without overlap; sequences without a pair to merge leave with their count."""
+        from the left without overlap; sequences without a pair to merge leave with their count. Ranks are kept from round
+        to round and looked up anew only beside merged pairs."""
         left, live = lens.copy(), np.arange(len(lens))
+        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        rank = np.full(len(ids), NONE, np.int32)
+        rank[:-1] = self.ranks(ids[:-1], ids[1:])
+        rank[starts + lens - 1] = NONE
         while len(live):
-            starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-            rank = np.full(len(ids), NONE, np.int32)
-            rank[:-1] = self.ranks(ids[:-1], ids[1:])
-            rank[starts[1:] - 1] = NONE
             best = np.minimum.reduceat(rank, starts)
             take = rank == np.repeat(best, lens)
             take &= rank != NONE
@@ -120,7 +121,13 @@ class Bpe:
             left[live] = after
             going = (best != NONE) & (after > 1)
             keep &= np.repeat(going, lens)
-            ids, lens, live = ids[keep], after[going], live[going]
+            place = (np.cumsum(keep) - 1)[at[keep[at]]]
+            ids, rank, lens, live = ids[keep], rank[keep], after[going], live[going]
+            starts = np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else lens
+            beside = np.unique(np.concatenate((place, place - 1)))
+            beside = beside[(beside >= 0) & (beside + 1 < len(ids))]
+            rank[beside] = self.ranks(ids[beside], ids[beside + 1])
+            rank[starts + lens - 1] = NONE
         return left
 
 
