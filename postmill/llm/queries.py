@@ -1,4 +1,4 @@
-"""The queries op1 .. op10 and pipeline, with production parameters over the whole tables, and SQL where it can say the same."""
+"""The queries op1 .. op13, with production parameters over the whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
+from .conversations import COUNTS, conversation_audits, repair_conversations
 from .decontamination import contamination
 from .mixing import mix_to_targets
 from .nearest import nearest
@@ -71,7 +72,30 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats)}
+def damaged(conversations):
+    """The turns as the contract of op13 damages them, by a hash of conversation and turn (nulls: one space)."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", space("conv_id"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate_") == 1, "").when(F.col("fate_") == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    role = F.when(F.col("fate_") == 4, "user").otherwise(space("role"))
+    times = F.array_repeat(F.lit(1), F.when(F.col("fate_") == 3, 2).otherwise(1))
+    kept = conversations.select("conv_id", "turn", "role", "text", fate.alias("fate_")).where("fate_ != 0")
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def repaired(conversations):
+    """The audit of every original conversation after its turns were damaged and repaired; zeros where no turn is left."""
+    audits = conversation_audits(repair_conversations(damaged(conversations))).withColumnRenamed("conv_id", "id_")
+    every = conversations.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("id_")), "left")
+    zeros = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS)
+    return every.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repaired(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats, op13_conversation_repair)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
