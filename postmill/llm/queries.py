@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .conversations import COUNTS, conversation_audits, repair_conversations
 from .decontamination import contamination
+from .language import identify_language
 from .mixing import mix_to_targets
 from .nearest import nearest
 from .neardup import near_duplicates
@@ -72,6 +73,10 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op12_language(spark, sf_dir):
+    return identify_language(read(spark, sf_dir, "documents"))
+
+
 def damaged(conversations):
     """The turns as the contract of op13 damages them, by a hash of conversation and turn (nulls: one space)."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -95,7 +100,7 @@ def op13_conversation_repair(spark, sf_dir):
     return repaired(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats, op12_language, op13_conversation_repair)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
