@@ -12,6 +12,7 @@ from .language import identify_language
 from .mixing import mix_to_targets
 from .nearest import nearest
 from .neardup import near_duplicates
+from .phrases import mine_phrases
 from .quality import score_quality
 from .records import token_records
 from .repeats import remove_repeats
@@ -73,6 +74,10 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark, sf_dir):
+    return mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def op12_language(spark, sf_dir):
     return identify_language(read(spark, sf_dir, "documents"))
 
@@ -100,7 +105,7 @@ def op13_conversation_repair(spark, sf_dir):
     return repaired(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats, op12_language, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_token_counts, op4_secrets, op5_nearest, op6_near_duplicates, op7_quality, op8_token_records, op9_mixing, op10_repeats, op11_phrases, op12_language, op13_conversation_repair)}
 #: Words as the near-duplicate contract takes them: lower-cased A-Z, cut at ASCII white space.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
@@ -144,6 +149,20 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_phrases": """
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t)),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM f WHERE k >= 2 AND f >= 30),
+x AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+y AS (SELECT x.lang, x.phrase, x.f, j, l.f AS l, r.f AS r, (2000000::HUGEINT * x.f // (l.f + r.f))::BIGINT AS score FROM x JOIN f l ON l.lang = x.lang AND l.k = j AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = x.lang AND r.k = x.k - j AND r.phrase = array_to_string(w[j+1:], ' ')),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS q FROM y) WHERE q = 1),
+i AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, f, array_to_string(w[p:p+m-1], ' ') AS phrase FROM (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS p FROM c, (VALUES (2), (3)) z(m) WHERE m < k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.f DESC, s.phrase) AS rank, s.phrase, s.f AS a, s.l, s.r, n.n, s.score
+      FROM s JOIN n USING (lang) LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.most IS NULL OR 100 * i.most < 80 * s.f)
+SELECT * FROM o WHERE rank <= 2000""",
     "op6_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))
