@@ -27,7 +27,10 @@ def dictionaries(known: DataFrame, id_col: str, text_col: str, lang_col: str, ro
     among those with its ``rows`` smallest hashed ids, the commonest last (nearest to what is compressed)."""
     ids = known.select(F.col(lang_col).alias("lang_"), F.col(id_col).alias("id_")).where("lang_ is not null and id_ is not null")
     counts = {r.lang_: r.n for r in ids.groupBy("lang_").agg(F.count("*").alias("n")).collect()}
-    turn = F.row_number().over(Window.partitionBy("lang_").orderBy(F.xxhash64("id_"), "id_"))
+    # ids whose hash is small enough for twice as many rows, so that few meet to be ranked
+    share = F.create_map(*(F.lit(y) for x, n in counts.items() for y in (x, min(1.0, 2 * rows / n)))) if counts else F.lit(None)
+    ids = ids.withColumn("place", F.pmod(F.xxhash64("id_"), F.lit(1 << 30))).where(F.col("place") <= share[F.col("lang_")] * (1 << 30)) if counts else ids.withColumn("place", F.lit(0))
+    turn = F.row_number().over(Window.partitionBy("lang_").orderBy("place", "id_"))
     chosen = ids.withColumn("turn", turn).where(F.col("turn") <= rows).select(F.col("lang_").alias("lang2"), F.col("id_").alias("id2")).distinct()
     texts = known.select(F.col(lang_col).alias("lang_"), F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
     sample = texts.join(F.broadcast(chosen), (F.col("lang_") == F.col("lang2")) & (F.col("id_") == F.col("id2"))).select("lang_", "text_")

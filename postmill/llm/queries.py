@@ -151,9 +151,11 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op11_phrases": """
 WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t)),
-g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) x(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS x FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t)),
+w AS (SELECT p, lang, unnest(x) AS w, unnest(range(len(x))) AS i FROM p),
+v AS (SELECT lang, w AS u, lead(w, 1) OVER z AS v, lead(w, 2) OVER z AS x, lead(w, 3) OVER z AS y FROM w WINDOW z AS (PARTITION BY p ORDER BY i)),
+f AS (SELECT lang, 1 AS k, u AS phrase, count(*) AS f FROM v GROUP BY ALL UNION ALL SELECT lang, 2, u || ' ' || v, count(*) FROM v WHERE v IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT lang, 3, u || ' ' || v || ' ' || x, count(*) FROM v WHERE x IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 4, u || ' ' || v || ' ' || x || ' ' || y, count(*) FROM v WHERE y IS NOT NULL GROUP BY ALL),
 c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM f WHERE k >= 2 AND f >= 30),
 x AS (SELECT *, unnest(range(1, k)) AS j FROM c),
 y AS (SELECT x.lang, x.phrase, x.f, j, l.f AS l, r.f AS r, (2000000::HUGEINT * x.f // (l.f + r.f))::BIGINT AS score FROM x JOIN f l ON l.lang = x.lang AND l.k = j AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = x.lang AND r.k = x.k - j AND r.phrase = array_to_string(w[j+1:], ' ')),

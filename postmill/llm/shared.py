@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Written tables of one operator under names, so that those no longer needed can be deleted."""
 
@@ -52,10 +58,8 @@ class Tables:
 
     def drop(self, *names: str) -> None:
         """Delete the tables of these names; nothing may read them any more."""
-        jvm = self.spark._jvm
         for path in [p for name in names for p in self.paths.pop(name, [])]:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -119,12 +119,36 @@ def test_records_hold_what_the_tokenizer_gives(spark, odd):
     assert got == want
 
 
+@pytest.mark.parametrize("stage, operator", [("toxicity", "score_toxicity"), ("near_duplicate", "near_duplicates"), ("decontamination", "contamination"), ("mixing", "mix_to_targets")])
+def test_verdicts_stay_on_their_rows_when_splits_change_between_jobs(spark, odd, monkeypatch, stage, operator):
+    """The size of splits, and with it the number of tasks, changes before and after the operator's jobs."""
+    want = key(getattr(corpus_pipeline, stage)(spark, odd, SF).collect())
+    real, name = getattr(corpus_pipeline, operator), "spark.sql.files.maxPartitionBytes"
+
+    def between(*args, **kwargs):
+        spark.conf.set(name, "1k")
+        out = real(*args, **kwargs)
+        spark.conf.set(name, "64m")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, operator, between)
+    spark.conf.set(name, "3k")
+    try:
+        got = getattr(corpus_pipeline, stage)(spark, odd, SF)
+        spark.conf.set(name, "2k")
+        assert key(got.collect()) == want
+    finally:
+        spark.conf.unset(name)
+
+
 def test_run_applies_the_stages_in_order(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "decontamination", "mixing", "token records"]
     last = corpus_pipeline.run(spark, SF).collect()
     known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert 0 < len({r.doc_id for r in last}) < len(known) and {r.doc_id for r in last} <= known
     assert sorted(r.start for r in last)[0] == 0
+    # what a stage reads and writes goes when the next table stands; the last stage reads one
+    assert len(corpus_pipeline.Scratch.paths) == 1
 
 
 def test_stages_handle_an_empty_table(spark, odd):
