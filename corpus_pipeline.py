@@ -1,9 +1,10 @@
 """The corpus pipeline: STAGES in order over documents, each a written table that the next one reads.
 
 Every stage but the last returns the columns of documents, whatever else they hold; ``run`` applies them to the documents of a
-folder. A stage numbers the rows of its input by their place in it (its input is a written table, so a task that is run again
-numbers them alike) and decides by that number: a verdict falls on exactly the row it was made for, also where ids are null
-or repeat. Stages read doc_id, text and (mixing) lang alone; other columns come along under any name.
+folder. A stage first writes its input with a number for each row and reads both from there ever after: numbers are made
+once, so a verdict falls on exactly the row it was made for, whatever becomes of executors, splits or parallelism between two
+jobs, and also where ids are null or repeat. Stages read doc_id, text and (mixing) lang alone; other columns come along under
+any name. ``run`` deletes what a stage read and wrote when the next table stands.
 
 In all stages: null and empty texts are clean, linked with nothing, and have no tokens; very long texts are read whole; an empty table gives
 an empty table.
@@ -22,7 +23,7 @@ from postmill.llm.mixing import mix_to_targets
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.queries import TOKENIZER, domains_of
 from postmill.llm.records import token_records
-from postmill.llm.shared import scratch
+from postmill.llm.shared import delete, scratch
 from postmill.llm.toxicity import score_toxicity
 
 
@@ -30,12 +31,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+class Scratch:
+    """Folders of the stages of this session that nothing reads any more once their stage's result is written."""
+
+    paths: list[str] = []
+
+    @classmethod
+    def new(cls, spark: SparkSession, name: str) -> str:
+        cls.paths.append(scratch(spark, name.replace(" ", "-")))
+        return cls.paths[-1]
+
+    @classmethod
+    def drop(cls, spark: SparkSession, but: str) -> None:
+        for path in [x for x in cls.paths if x != but]:
+            delete(spark, path)
+            cls.paths.remove(path)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the number of each row in a column whose name none of the others has."""
+    """docs with a number for each row in a column whose name none of the others has, as a written table: a number that is
+    made anew in a later job may differ, one that is read never does."""
     name = "row_number_"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    path = Scratch.new(docs.sparkSession, "numbered")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path), name
 
 
 def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
@@ -94,7 +116,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        path = Scratch.new(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        Scratch.drop(spark, but=path)
     return STAGES[-1][1](spark, docs, sf_dir)
