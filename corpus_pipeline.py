@@ -4,7 +4,7 @@ Every stage but the last returns the columns of documents, whatever else they ho
 folder. A stage first writes its input with a number for each row and reads both from there ever after: numbers are made
 once, so a verdict falls on exactly the row it was made for, whatever becomes of executors, splits or parallelism between two
 jobs, and also where ids are null or repeat. Stages read doc_id, text and (mixing) lang alone; other columns come along under
-any name. ``run`` deletes what a stage read and wrote when the next table stands.
+any name. When a stage has its numbered input, what earlier stages worked on is deleted: their results are written by then.
 
 In all stages: null and empty texts are clean, linked with nothing, and have no tokens; very long texts are read whole; an empty table gives
 an empty table.
@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 class Scratch:
-    """Folders of the stages of this session that nothing reads any more once their stage's result is written."""
+    """Folders that stages read while their result is made: numbered inputs, and in ``run`` the results themselves."""
 
     paths: list[str] = []
 
@@ -57,6 +57,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     path = Scratch.new(docs.sparkSession, "numbered")
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     rows.write.parquet(path)
+    Scratch.drop(docs.sparkSession, but=path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path), name
 
 
@@ -97,7 +98,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Domains get closer in size (shares to the power 0.9): documents of the smaller ones are repeated as often as their
     rate says. No document has a rate below 1, so clean ones all stay. Repeated rows are rated each."""
     rows, row = numbered(docs)
-    labelled = domains_of(docs.select("doc_id", "lang"), read(spark, sf_dir, "labels"))
+    labelled = domains_of(rows.select("doc_id", "lang"), read(spark, sf_dir, "labels"))
     mixed = mix_to_targets(rows.select("doc_id", "text", F.col(row).alias("row_")), labelled, temper=0.9, keep_all=True, keep=("row_",))
     # one number in the array for each copy
     times = mixed.select("row_", F.explode(F.array_repeat(F.lit(0), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).select(F.col("row_").alias(row))
