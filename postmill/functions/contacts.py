@@ -93,10 +93,33 @@ def clean_link(c: Column) -> Column:
     return let(let(out, scheme), lambda x: F.when(x.rlike(r"(?i)^https?://[^/?#]"), x))
 
 
-def message_links(links: Column, text: Column, own: Column, url: Column) -> Column:
-    """The links of a message (those of its buttons and entities, then those in its text), each once, but for the message's own
-    and those to the channel (``own``: an array of its names)."""
-    every = F.concat(F.coalesce(links, F.array().cast("array<string>")), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(VISIBLE_URL), F.lit(0)))
-    names = F.transform(F.array_compact(own), lambda x: F.lower(F.regexp_replace(trim_control(x), "^@+", "")))
-    foreign = lambda x: (x != F.coalesce(clean_link(url), F.lit(""))) & ~(x.rlike(MESSENGER_HOST) & F.array_contains(names, F.lower(F.regexp_extract(x, MESSENGER_NAME, 1))))
-    return F.array_distinct(F.filter(F.array_compact(F.transform(every, clean_link)), foreign))
+def entity_links(text: Column, entities: Column) -> Column:
+    """The links that entities of a message name: the hidden one of a "text_url", for a "url" the part of the text that it marks.
+
+    Offsets and lengths count characters (code points, as Spark's substring does) of the text without white space at its
+    ends; negative ones count as 0, and what lies beyond the end is empty. Null entities have no links."""
+    kind = "array<struct<type:string,offset:int,length:int,url:string>>"
+    positive = lambda x: F.greatest(F.coalesce(x, F.lit(0)), F.lit(0))
+    cut = lambda t, e: F.when(e["type"] == "text_url", e["url"]).when(e["type"] == "url", F.substring(t, positive(e["offset"]) + 1, positive(e["length"])))
+    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    links = let(stripped, lambda t: F.transform(F.coalesce(entities, F.array().cast(kind)), lambda e: cut(t, e)))
+    return F.filter(links, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def own_link_names(own: Column) -> Column:
+    return F.transform(F.array_compact(own), lambda x: F.lower(F.regexp_replace(trim_control(x), "^@+", "")))
+
+
+def message_links(links: Column, text: Column, own: Column, url: Column, entities: Column | None = None) -> Column:
+    """The links of a message (exported ones, then those of its entities in their order, then those in its text), each
+    once, but for the message's own and those to the channel (``own``: an array of its names)."""
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce(links, none), entity_links(text, entities) if entities is not None else none, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(VISIBLE_URL), F.lit(0)))
+    foreign = lambda names: lambda x: (x != F.coalesce(clean_link(url), F.lit(""))) & ~(x.rlike(MESSENGER_HOST) & F.array_contains(names, F.lower(F.regexp_extract(x, MESSENGER_NAME, 1))))
+    return let(own_link_names(own), lambda names: F.array_distinct(F.filter(F.array_compact(F.transform(every, clean_link)), foreign(names))))
+
+
+def links_of(messages, names: tuple[str, ...] = ("channel", "source")) -> Column:
+    """``message_links`` of a DataFrame of messages, with the entities, and the name of the chat, where it has these columns."""
+    names = (*names, "chat_username") if "chat_username" in messages.columns else names
+    return message_links(F.col("contact_links"), F.col("text"), F.array(*names), F.col("url"), F.col("entities") if "entities" in messages.columns else None)

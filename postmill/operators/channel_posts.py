@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contacts import message_links
+from ..functions.contacts import links_of
 from ..functions.lines import nonempty, position, take_until
 from ..functions.text import contains_any, filled, let
 from .dedup import written
@@ -207,7 +207,7 @@ def vacancies(messages: DataFrame) -> DataFrame:
     })
     place = F.when(F.col("_place").isNotNull() & F.col("_mark").isNotNull(), F.concat("_place", F.lit(" ("), "_mark", F.lit(")"))).otherwise(F.coalesce("_place", "_mark", heading_place(heading, F.col("_company"))))
     given = lambda c: filled(strip(c))
-    links = message_links(F.col("contact_links"), F.col("text"), F.array("channel", "source"), F.col("url"))
+    links = links_of(messages)
     out = s.select(
         F.col("_name").alias("title"), given(F.col("_company")).alias("company"), F.col("_told").alias("description"), given(F.col("_pay")).alias("salary"), given(place).alias("location"), "source",
         F.col("_url").alias("url"), F.coalesce("date", F.current_timestamp()).alias("posted_at"), links.alias("contact_links"), F.col("_fine"),

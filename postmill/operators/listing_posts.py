@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contacts import message_links
+from ..functions.contacts import links_of
 from ..functions.lines import nonempty, position, take_until
 from ..functions.text import contains_any, filled, let
 from .channel_posts import starts, strip
@@ -469,7 +469,7 @@ def notices(messages: DataFrame, city: City | None = None) -> DataFrame:
     if city and city.free_places:
         free = F.get(F.filter(F.transform("_lines", lambda m: value_of(m.text)), lambda x: contains_any(F.lower(x), city.free_places)), F.lit(0))
         place = F.coalesce(place, F.regexp_replace(free, r"[!.,]+$", ""))
-    links = message_links(F.col("contact_links"), F.col("text"), F.array("channel", "source"), F.col("url"))
+    links = links_of(messages)
     if city and city.invitation_links:
         links = F.filter(links, lambda x: ~(x.startswith("https://t.me/+") & F.contains(F.lower("text"), F.lit(city.invitation_links))))
     out = s.select(

@@ -10,13 +10,13 @@ from ..schemas import MESSAGE, RAW_JOB, RAW_REQUIRED
 TOPIC = "jobs.raw"
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """A channel export; the schema is fixed, nothing is inferred."""
-    return spark.read.schema(MESSAGE).json(path)
+def read_messages(spark: SparkSession, path: str, schema: str = MESSAGE) -> DataFrame:
+    """A channel export; the schema is fixed, nothing is inferred. MESSAGE_WITH_ENTITIES also reads the entities."""
+    return spark.read.schema(schema).json(path)
 
 
-def read_messages_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def read_messages_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, schema: str = MESSAGE) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
