@@ -13,7 +13,7 @@ from ..functions import contacts, hashing, lines, text
 from ..operators import about_details, caption, channel_posts, dedup, jobs, listing_posts, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
 from ..operators.source_details import source_details
-from ..operators.structured import detect_label, is_multi_role, parse_structured
+from ..operators.structured import detect_label, is_multi_role, parse_structured, with_own_details
 from ..sources.messages import decode_raw, encode_raw
 
 QUERIES: dict = {}
@@ -387,6 +387,39 @@ def city_vacancies(spark, sf_dir):
     return registry.ingest(messages).select("url", "title", "company", "salary", "location")
 
 
+def emoji_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages with entities: a hidden link, a marked part of the text behind emoji, the channel's own link, and no link."""
+    k = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("\n  😀👍🏽 Ariza https://a.example/"), k, F.lit("x\n"))
+    mark = lambda kind, at, n, url: F.struct(F.lit(kind).alias("type"), F.lit(at).alias("offset"), (n if not isinstance(n, int) else F.lit(n)).cast("int").alias("length"), url.alias("url"))
+    none = F.lit(None).cast("string")
+    marks = F.array(mark("text_url", 0, 1, F.concat(F.lit("https://forms.example/"), k, F.lit("."))), mark("url", 10, F.length(k) + 18, none), mark("text_url", 4, 5, F.concat(F.lit("t.me/"), "source")), mark("bold", 0, 3, F.lit("https://no.example")))
+    d = read(spark, sf_dir, "documents").where("source is not null")
+    return d.select(F.col("doc_id").alias("id"), F.lit("2024-01-01").cast("timestamp").alias("date"), text.alias("text"), F.concat(F.lit("https://t.me/"), "source", F.lit("/"), k).alias("url"), F.array(F.concat(F.lit("https://given.example/"), k)).alias("contact_links"), F.col("source").alias("channel"), marks.alias("entities"))
+
+
+@query("""SELECT doc_id AS id, 'https://given.example/' || doc_id || ' https://forms.example/' || doc_id || ' https://a.example/' || doc_id || ' https://a.example/' || doc_id || 'x' AS links FROM documents WHERE source IS NOT NULL""")
+def entity_links(spark, sf_dir):
+    """The links of messages: exported, then of entities (offsets count characters behind emoji), then visible ones."""
+    messages = emoji_messages(spark, sf_dir).withColumn("source", F.col("channel"))
+    return messages.select("id", F.array_join(contacts.links_of(messages), " ").alias("links"))
+
+
+@query("""SELECT source, count(*) FILTER (source <> 'src2') AS jobs, count(*) FILTER (source = 'src2') AS dead FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def dispatch_outcomes(spark, sf_dir):
+    """Messages of all channels through rules of which one is broken: it costs its own messages, which are dead letters."""
+
+    def broken(df):
+        raise ValueError("a broken rule")
+
+    registry = jobs.Registry()
+    for i in range(64):
+        registry.register(f"plugin_{i:02}", f"src{i}", f"src{i}", broken if i == 2 else jobs.raw_passthrough if i in (1, 3) else None)
+    raw, dead = registry.dispatch(emoji_messages(spark, sf_dir))
+    both = raw.select("source", F.lit(1).alias("j"), F.lit(0).alias("d")).unionByName(dead.select(F.col("channel").alias("source"), F.lit(0).alias("j"), F.lit(1).alias("d")))
+    return both.groupBy("source").agg(F.sum("j").alias("jobs"), F.sum("d").alias("dead"))
+
+
 @query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
 def replay_counts(spark, sf_dir):
     """How many messages of the channel were read, skipped, and how many jobs came of them."""
@@ -506,6 +539,19 @@ def details_with_about(spark, sf_dir):
     return d.select("k", "benefits", "requirements", "responsibilities", "work_schedule")
 
 
+@query("""SELECT p_partkey AS k, p_name AS title, 'Firma' || s_suppkey AS company, '18 - 35 yosh' AS requirements, 'Mijozlar bilan ishlash ' || p_size || chr(10) || 'Sotuvni amalga oshirish' AS responsibilities, 'Bepul tushlik' || chr(10) || 'Bepul transport' AS benefits,
+'09:00 dan 18:00 gacha' AS work_schedule, '+99890' || lpad(p_partkey::VARCHAR, 7, '0') AS phones, 'hr_' || s_suppkey || 'x' AS names FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""")
+def parse_structured_with_own_details(spark, sf_dir):
+    """Strictly labelled posts of a source whose own rules find more: sections are merged with the lines about the work."""
+    told = _text(
+        "Lavozim: ", "$p_name", "\nKompaniya: Firma", "$s_suppkey", "\nMaosh: ", "$p_size", " mln\nHudud: Toshkent\n📣 Ish haqida:\n– Mijozlar bilan ishlash ", "$p_size", "\n– Bepul transport\n– Sotuvni amalga oshirish\n❗️ Talablar:\n– 18 - 35 yosh\nQulayliklar:\n- Bepul tushlik\n⏰ Ish vaqti:\n– 09:00 dan 18:00 gacha\n☎️ Bog‘lanish:\n– +99890",
+        F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "\n– @hr_", "$s_suppkey", "x",
+    )
+    posts = posts_of(spark, sf_dir, "ishchi_bor_kerak_toshkent", F.lit("raw_post"), told)
+    p = parse_structured(dedup.written(with_own_details(about_details.details_with_about(posts))))
+    return p.where("ok").select("k", F.col("parsed_title").alias("title"), F.col("parsed_company").alias("company"), "requirements", "responsibilities", "benefits", "work_schedule", F.array_join("contact_phone_numbers", ",").alias("phones"), F.array_join("contact_telegram_usernames", ",").alias("names"))
+
+
 _LOOSE_OK = "v IN (0, 6)"
 _LOOSE_REASON = "CASE v WHEN 1 THEN 'missing_company' WHEN 2 THEN 'missing_contact' WHEN 3 THEN 'multiple_roles_detected' WHEN 5 THEN 'too_few_optional_fields' END"
 
