@@ -80,9 +80,9 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, f"{path}_outcomes", f"{OUTCOMES}, batch BIGINT")
 
 
-def run_ingest_stream(raw_stream: DataFrame, path: str, checkpoint: str, once: bool = True):
+def run_ingest_stream(raw_stream: DataFrame, path: str, checkpoint: str, once: bool = True, parse=parse_all):
     """Start the stream; at-least-once delivery and a sink that may repeat a batch give each job once."""
-    writer = raw_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, path) and None)
+    writer = raw_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, path, parse=parse) and None)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
