@@ -37,17 +37,18 @@ BARE_TITLES, GREETINGS = ["ish", "ishga", "taklif"], ["yangi ish", "ish bor"]
 LIST_BULLETS = "-•▪▫*●◦▶🔸🔹📲📝🚚"
 BULLET = r"^[\s\-•▪▫*●◦▶✓✔✅🔸🔹📲📝🚚📌\d().️]+"
 SYMBOLS = r"^[\s📣🔉💥🔥✅❗❕❌➖➕👍👆👇☎📞📱🆔🗓💼🏢📍🎯⏰💰📝📋📌🚗🕰💎🕹📢🔹🔸🔴✨👥🙋🟢🔍💵⚠🏠✈👶🧾🖥🗺🚹🧩▫▪️]+"
-DECORATION = r"(?U)^[\W_]+$"
+DECORATION = r"^[^\p{L}\p{N}]+$"
 TAG = r"(?iu)#[\w\x{0400}-\x{04FF}\x{2019}\x{02BB}\x{02BC}]+"
 ANY = "(?iuU)"
-QUOTED = "(?U)(?<!\\w)[\"'“«]([^\"'”»]+)[\"'”»](?!\\w)"
+QUOTED = "(?U)(?<![\\p{L}\\p{N}_])[\"'“«]([^\"'”»]+)[\"'”»](?![\\p{L}\\p{N}_])"
 GENERIC_HEADINGS = [r"^(?:📢\s*)?(?:ishga|ишга)\s+taklif!?$", r"^(?:📢\s*)?(?:ishga|ишга)\s+taklif\s+qil(?:inadi|amiz|adi)?!?$", r"^(?:📢\s*)?вакансия!?$", r"^ish\s+qidiryapsizmi", r"^urganch\s+shaxrida$", r"^toshkentdan\s+gapiramiz$"]
 SIGNALS = [
     r"\b(?:ish\s+lavozimi|ish\s+lavozimlari|vakansiya|вакансиялар)\b", r"(?:ishga|ишга)\s+(?:taklif|qabul)", r"ишга\s+(?:таклиф|қабул|килади|қилади)", r"приглашает\s+на\s+работу", r"we\s+are\s+hiring",
     r"\b(?:kerak|talab\s+etiladi|qidirmoqda|izlayapmiz)\b", r"qabul\s+qilmoqda", r"\b(?:керак|лавозим|маош|манзил|мурожаат|телефон|тел)\b", r"\b(?:талаблар|иш\s+тартиби|иш\s+ўринлари|иш\s+уринлари)\b",
     r"\b(?:требования|контакт|контакты|заработанная\s+плата|адрес)\b", r"\b(?:requirements|salary|contact|address)\b", r"\b(?:maosh|oylik|ish\s+haqi|kunlik)\b", r"\b(?:manzil|hudud|murojaat|telefon|tel|aloqa)\b",
 ]
-LEAD = r"^(?:[\W_]+\s*)?"
+# Letters and digits alone are words here; marks and joiners (as in joined emoji) are not.
+LEAD = r"^(?:[^\p{L}\p{N}]+\s*)?"
 TITLES = [LEAD + r"(?:ish\s+lavozimi|vakansiya|ish\s+o['’`]?rni|bo['’`]?sh\s+ish\s+o['’`]?rni)\s*[:\-]\s*(.*)$", LEAD + r"вакансиялар?\s*[:\-]\s*(.*)$", LEAD + r"(?:лавозим|должность)\s*[:\-]\s*(.*)$"]
 LISTS = [LEAD + r"(?:ish\s+lavozimlari|bo['’`]?sh\s+ish\s+o['’`]?rinlari|vakansiyalar)\s*[:\-]?\s*(.*)$", LEAD + r"bo['’`]?sh\s+ish\s+o['’`]?rinlari", LEAD + r"вакансиялар", r"по\s+следующим\s+вакансиям"]
 COMPANY_FIELDS = [LEAD + r"(?:ish\s+beruvchi|kompaniya|kompaniyamiz|korxona|brend)\s*[:\-]\s*(.+)$", LEAD + r"ish\s+joyi\s*[:\-]\s*(.+)$", LEAD + r"(?:компания|бренд)\s*[:\-]\s*(.+)$"]
@@ -60,7 +61,7 @@ TO = "ga|ka|qa|iga|lariga|siga|га|ка|қа|ига|ларга|сига"
 INVITED_TO = rf"^(.+?(?:{TO}))\s+(?:ishga\s+|ишга\s+)?(?:taklif\s+et(?:adi|amiz)|taklif\s+qil(?:adi|amiz|inadi|moqda)|qabul\s+qil(?:adi|moqda|inadi)|qabul\s+qilin(?:adi|amiz|moqda))\b"
 OFFERS = r"^(.+?)\s+(?:sizga\s+)?bo['’`]sh\s+ish\s+o['’`]rinlarini\s+taklif\s+etadi\b"
 NAMED_PLACE = rf"^(?:yangi\s+)?(.+?\b(?:restoran|restorant|kafe|cafe|bar|resto\s*bar|club|pub|do['’`]?kon|market|gipermarket|klinika|markaz|bog['’`]cha|maktab|korxona))(?:{TO})?$"
-INVITATION = r"^(?:📢\s*)?(?:(?:ishga|ишга)\s+taklif(?:\s+qilin(?:adi|amiz|moqda)|\s+qil(?:adi|amiz)|\s+etamiz)?|(?:ishga|ишга)\s+qabul\s+qilin(?:adi|amiz|moqda))\W*$"
+INVITATION = r"^(?:📢\s*)?(?:(?:ishga|ишга)\s+taklif(?:\s+qilin(?:adi|amiz|moqda)|\s+qil(?:adi|amiz)|\s+etamiz)?|(?:ishga|ишга)\s+qabul\s+qilin(?:adi|amiz|moqda))[^\p{L}\p{N}_]*$"
 CALLS = r"taklif\s+qilin(?:adi|amiz|moqda|gan)|taflik\s+qilin(?:adi|amiz|moqda|gan)|taklif\s+qil(?:adi|amiz)|taflik\s+qil(?:adi|amiz)|taklif\s+etamiz|qabul\s+qilin(?:adi|amiz|moqda)|qabul\s+qilmoqda|таклиф\s+қил(?:ади|амиз)|таклиф\s+кил(?:ади|амиз)|қабул\s+қилин(?:ади|амиз)|қабул\s+килин(?:ади|амиз)|kerak|керак|qidirmoqda|izlayapmiz"
 ROLE_AT, ROLE_ALONE = rf"^(.+?)(?:{TO})\s+(.+?)\s+(?:ishga\s+|ишга\s+)?(?:{CALLS})", rf"^(.+?)\s+(?:ishga\s+|ишга\s+)?(?:{CALLS}|talab\s+etiladi)"
 RUSSIAN = r"^(.+?)\s+(?:с[^\s]*\s+)?(?:радостью\s+сообщает\s+о\s+наборе|ищет|приглашает\s+на\s+работу|қидиряпди|қидирмокда)\s+(.+?)(?:[.!]|$)"
@@ -99,7 +100,7 @@ CITIES = {
     ),
 }
 CITY_COMPANIES = [*COMPANIES, "trading", "logistics", "logistic", "tsex", "sex", "sklad", "ombor", "zavod", "fabrika", "factory", "ishlab chiqarish", "savdo markazi", "savdo uyi", "distrib", "distribut", "taxi", "yandex", "clinic", "hotel"]
-CITY_TITLES = [*TITLES, r"^(?:[\W_]+\s*)?(?:bo['’`]?sh\s+ish\s+o['’`]?rni|rol|position)\s*[:\-]?\s*(.*)$"]
+CITY_TITLES = [*TITLES, LEAD + r"(?:bo['’`]?sh\s+ish\s+o['’`]?rni|rol|position)\s*[:\-]?\s*(.*)$"]
 DIRECT = r"^(.+?(?:kompaniyasi|kompaniya|firmasi|korxonasi|zavodi|markazi|tsexi|sexi|skladi|ombori|restorani|kafesi|kafe|hotel|trading|logistics|logistic|taxi|market|mchj))\s*(.+?)?\s*(?:ishga\s+|ишга\s+)?(?:taklif\s+qil(?:adi|amiz)|taklif\s+et(?:adi|amiz)|qabul\s+qil(?:adi|amiz|inadi)|qabul\s+qilin(?:adi|amiz))"
 CASES = {
     "kompaniyasiga": "kompaniyasi", "kompaniyaga": "kompaniya", "firmasiga": "firmasi", "firmaga": "firma", "korxonasiga": "korxonasi", "korxonaga": "korxona", "markaziga": "markazi", "markazga": "markaz", "filialiga": "filiali",
@@ -122,6 +123,11 @@ def part(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, ANY + pattern, group)
 
 
+def bare(c: Column) -> Column:
+    """Without anything but letters and digits at the front, as city channels take a line and what stands behind a label."""
+    return F.regexp_replace(c, r"^[^\p{L}\p{N}]+", "")
+
+
 def plain(c: Column) -> Column:
     """Without symbols at the front."""
     return strip(F.regexp_replace(c, SYMBOLS, ""))
@@ -137,7 +143,7 @@ def begun(c: Column) -> Column:
 
 
 def heading_of(c: Column) -> Column:
-    return ends(F.regexp_replace(begun(c), r"(?U)\s*[^\w\x{0400}-\x{04FF}()]+$", ""))
+    return ends(F.regexp_replace(begun(c), r"(?U)\s*[^\p{L}\p{N}_\x{0400}-\x{04FF}()]+$", ""))
 
 
 def title_of(c: Column) -> Column:
@@ -146,7 +152,7 @@ def title_of(c: Column) -> Column:
         r"^(?:bo['’`]?sh\s+ish\s+o['’`]?rinlari\s*[⬇️:]*)", r"^(?:ish\s+lavozimlari?\s*[:\-]?)", r"^(?:vakansiya\s*[:\-]?)", r"^(?:бизнинг\s+жамоамизга\s+)", r"^(?:корхонамиз\s+кенгая[^\s]*\s+сабабли\s+)",
         r"^(?:we\s+are\s+hiring(?:\s+full[- ]time)?\s+)", r"^.+?\bбуйича\s+иш\s+тажрибасига\s+эга\s+",
         r"\s+(?:ishga\s+|ишга\s+)?(?:taklif\s+et(?:adi|amiz)|taklif\s+qil(?:adi|amiz|inadi|moqda)|qabul\s+qil(?:adi|moqda|inadi)|qabul\s+qilin(?:adi|amiz|moqda))\b.*$",
-        r"(?:ga|ka|qa|га|ка|қа)(?=\s*\()", r"(?:ga|ka|qa|га|ка|қа)$", r"\s*[^\w\x{0400}-\x{04FF}()]+$",
+        r"(?:ga|ka|qa|га|ка|қа)(?=\s*\()", r"(?:ga|ka|qa|га|ка|қа)$", r"\s*[^\p{L}\p{N}_\x{0400}-\x{04FF}()]+$",
     ):
         out = F.regexp_replace(out, ANY + p, "")
     return ends(out)
@@ -253,21 +259,22 @@ def heads_after(at: Column) -> Column:
     return F.array_compact(F.transform("_lines", one))
 
 
-def field(patterns: list[str], salary: bool = False) -> Column:
+def field(patterns: list[str], salary: bool = False, front=lambda c: c) -> Column:
     """The value of the first labelled line with one: behind the label or, if nothing stands there, the next line; of a salary also the
-    lines with amounts below."""
-    goes_on = lambda m: let(value_of(m.text), lambda x: (x != "") & ~is_phone(x) & (contains_any(F.lower(x), PAID) | x.rlike(r"\p{Nd}")))
+    lines with amounts below. ``front`` takes off what stands at the front of a value."""
+    value = lambda c: value_of(front(c))
+    goes_on = lambda m: let(value(m.text), lambda x: (x != "") & ~is_phone(x) & (contains_any(F.lower(x), PAID) | x.rlike(r"\p{Nd}")))
     stops = lambda m: m.field | (m.section | m.contact | ~goes_on(m) if salary else F.lit(False))
 
     def values(m: Column, i: Column, pattern: str) -> Column:
-        first = value_of(part(m.text, pattern))
-        below = F.filter(lines_from(i + 1), lambda x: ~x.noise & (value_of(x.text) != ""))
+        first = value(part(m.text, pattern))
+        below = F.filter(lines_from(i + 1), lambda x: ~x.noise & (value(x.text) != ""))
 
         def of(rows: Column) -> Column:
             head = F.get(rows, F.lit(0))
             barred = (head.field | head.contact) if salary else head.field
-            alone = F.when(F.coalesce(~barred, F.lit(False)), F.array(value_of(head.text))).otherwise(F.array().cast("array<string>"))
-            more = lambda x: F.transform(take_until(x, stops), lambda y: value_of(y.text)) if salary else F.array().cast("array<string>")
+            alone = F.when(F.coalesce(~barred, F.lit(False)), F.array(value(head.text))).otherwise(F.array().cast("array<string>"))
+            more = lambda x: F.transform(take_until(x, stops), lambda y: value(y.text)) if salary else F.array().cast("array<string>")
             rest = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
             return F.when(first != "", F.concat(F.array(first), more(rows))).when(F.size(alone) > 0, F.concat(alone, more(rest))).otherwise(alone)
 
@@ -301,11 +308,11 @@ def title_in(m: Column) -> Column:
     return F.when(~m.section & ~m.field, F.when(matches(line, ROLE_AT) | matches(line, ROLE_ALONE), m.heading).when(line.rlike(QUOTED) & matches(quoted, ROLES), title_of(quoted)).when(matches(line, RUSSIAN) | matches(plain(line), ENGLISH), m.heading))
 
 
-def labelled_title(patterns: list[str] = TITLES, labels=is_field) -> Column:
+def labelled_title(patterns: list[str] = TITLES, front=lambda c: c) -> Column:
     def one(m: Column, i: Column) -> Column:
         next_ = F.get(F.col("_lines"), i + 1).title
-        below = F.when(F.coalesce(next_ != "", F.lit(False)) & ~labels(next_), next_)
-        return F.coalesce(*(F.when(m.text.rlike(ANY + p), F.coalesce(filled(title_of(part(m.text, p))), below)) for p in patterns))
+        below = F.when(F.coalesce(next_ != "", F.lit(False)) & ~is_field(next_), next_)
+        return F.coalesce(*(F.when(m.text.rlike(ANY + p), F.coalesce(filled(title_of(front(part(m.text, p)))), below)) for p in patterns))
 
     return F.get(F.array_compact(F.transform("_lines", one)), F.lit(0))
 
@@ -346,14 +353,14 @@ def read_city_line(city: City):
                 named.alias("named"), hinted.alias("hinted"), m.heads, matches(line, INVITATION).alias("invites"), matches(line, *LISTS).alias("lists"), m.short,
             )
 
-        return let(read_line(F.regexp_replace(line, r"(?U)^[\s\W_]+", "")), facts)
+        return let(read_line(bare(line)), facts)
 
     return read
 
 
 def city_company(line: Column, fragment: Column) -> Column:
     """A company's name in its base form; what a case ending of the line shows is put back."""
-    out = heading_of(fragment)
+    out = heading_of(bare(fragment))
     for case, base in CASES.items():
         out = F.regexp_replace(out, rf"(?iuU)\b{case}\b", base)
 
@@ -387,30 +394,30 @@ def city_company_in(m: Column) -> Column:
     pick = lambda pattern, title: F.when(matches(line, pattern), let(city_company(line, part(line, pattern)), lambda x: sure(x, title)))
     return F.coalesce(
         F.when(line.rlike(QUOTED), city_company(line, F.regexp_extract(line, QUOTED, 1))), F.when(matches(line, OFFERS), city_company(line, part(line, OFFERS))),
-        pick(DIRECT, title_of(part(line, DIRECT, 2))), pick(ROLE_AT, title_of(part(line, ROLE_AT, 2))), pick(INVITED_TO, none), let(place_name(line), lambda x: sure(x, none)),
+        pick(DIRECT, title_of(bare(part(line, DIRECT, 2)))), pick(ROLE_AT, title_of(bare(part(line, ROLE_AT, 2)))), pick(INVITED_TO, none), let(place_name(bare(line)), lambda x: sure(x, none)),
     )
 
 
 def city_title_in(m: Column) -> Column:
     line = m.text
-    said = lambda pattern, group: let(title_of(part(line, pattern, group)), lambda x: F.when((x != "") & ~is_vague(x), x).otherwise(m.heading))
+    said = lambda pattern, group: let(title_of(bare(part(line, pattern, group))), lambda x: F.when((x != "") & ~is_vague(x), x).otherwise(m.heading))
     return F.when(~m.section & ~m.field, F.when(matches(line, ROLE_AT), said(ROLE_AT, 2)).when(matches(line, ROLE_ALONE), said(ROLE_ALONE, 1)))
 
 
 def compact_roles(text: Column) -> Column:
     """The roles of a line that lists them behind signs, else the line's own."""
     several = F.size(F.regexp_extract_all(text, F.lit(COMPACT), F.lit(0))) >= 2
-    return nonempty(F.when(several, F.transform(F.split(text, COMPACT), title_of)).otherwise(F.array(title_of(text))))
+    return nonempty(F.when(several, F.transform(F.split(text, COMPACT), lambda x: title_of(bare(x)))).otherwise(F.array(title_of(bare(text)))))
 
 
 def city_place(patterns: list[str]) -> Column:
     """The value of the first such label with the lines below it, up to a field, a section or a contact."""
 
     def values(m: Column, i: Column, pattern: str) -> Column:
-        first = value_of(part(m.text, pattern))
-        below = F.filter(lines_from(i + 1), lambda x: ~x.noise & (value_of(x.text) != ""))
-        stops = lambda x, n: x.field | x.section | x.contact | (n & contains_any(F.lower(value_of(x.text)), LATER))
-        more = F.transform(take_until(below, lambda x: stops(x, F.lit(True) if pattern is None else first != "")), lambda x: value_of(x.text))
+        first = value_of(bare(part(m.text, pattern)))
+        below = F.filter(lines_from(i + 1), lambda x: ~x.noise & (value_of(bare(x.text)) != ""))
+        stops = lambda x, n: x.field | x.section | x.contact | (n & contains_any(F.lower(value_of(bare(x.text))), LATER))
+        more = F.transform(take_until(below, lambda x: stops(x, F.lit(True) if pattern is None else first != "")), lambda x: value_of(bare(x.text)))
         return F.when(m.text.rlike(ANY + pattern), nonempty(F.concat(F.array(first), more)))
 
     every = F.flatten(F.transform("_lines", lambda m, i: F.array(*(values(m, i, p) for p in patterns))))
@@ -447,16 +454,17 @@ def notices(messages: DataFrame, city: City | None = None) -> DataFrame:
         spread = F.when(F.size("_roles") > 0, F.flatten(F.transform("_roles", compact_roles))).when(F.col("_list").isNotNull(), below).otherwise(F.col("_roles"))
         s = s.withColumn("_roles", F.array_distinct(spread))
         s = s.withColumn("_context", F.array_distinct(F.concat("_context", F.filter(F.slice("_lines", 1, 8), lambda m: ~m.noise))))
-    inline = F.flatten(F.transform("_lines", lambda m: F.array(*(F.when(m.text.rlike(ANY + p), filled(ends(heading_of(part(m.text, p)), " -:;,."))) for p in COMPANY_FIELDS))))
+    front = bare if city else lambda c: c
+    inline = F.flatten(F.transform("_lines", lambda m: F.array(*(F.when(m.text.rlike(ANY + p), filled(ends(heading_of(front(part(m.text, p))), " -:;,."))) for p in COMPANY_FIELDS))))
     inline = F.get(F.filter(inline, lambda x: x.isNotNull() & ~matches(x, PLACES)), F.lit(0))
     of_context = F.get(F.array_compact(F.transform(F.filter("_context", lambda m: ~m.field), city_company_in if city else company_in)), F.lit(0))
-    branch = F.transform(F.slice("_lines", 1, 6), lambda m: let(plain(m.text), lambda x: F.when(matches(x, BRANCH), filled(value_of(part(x, BRANCH))))))
+    branch = F.transform(F.slice("_lines", 1, 6), lambda m: let(plain(front(m.text)), lambda x: F.when(matches(x, BRANCH), filled(value_of(part(x, BRANCH))))))
     branch = F.get(F.filter(branch, lambda x: x.isNotNull() & ~contains_any(F.lower(x), COMPANIES)), F.lit(0))
     s = s.withColumns({
-        "_company": F.coalesce(inline, of_context), "_label": labelled_title(CITY_TITLES) if city else labelled_title(), "_summary": summary_title(),
+        "_company": F.coalesce(inline, of_context), "_label": labelled_title(CITY_TITLES, bare) if city else labelled_title(), "_summary": summary_title(),
         "_said": F.get(F.array_compact(F.transform("_context", city_title_in if city else title_in)), F.lit(0)),
         "_base": F.coalesce(city_place([*city.addresses, *ADDRESSES]), city_place(REGIONS), branch) if city else F.coalesce(field(ADDRESSES), field(REGIONS), branch),
-        "_mark": city_place(LANDMARKS) if city else field(LANDMARKS), "_pay": field([*(city.salaries if city else ()), *SALARIES], salary=True),
+        "_mark": city_place(LANDMARKS) if city else field(LANDMARKS), "_pay": field([*city.salaries, *SALARIES], True, bare) if city else field(SALARIES, True),
     })
     invited = F.coalesce(F.get(F.col("_lines"), F.col("_at") + 1).invites, F.lit(False))
     title = F.coalesce(
@@ -467,7 +475,7 @@ def notices(messages: DataFrame, city: City | None = None) -> DataFrame:
     s = s.withColumns({"_title": strip(title), "_place": base})
     place = F.when(F.col("_place").isNotNull() & F.col("_mark").isNotNull(), F.concat("_place", F.lit(" ("), "_mark", F.lit(")"))).otherwise(F.coalesce("_place", "_mark"))
     if city and city.free_places:
-        free = F.get(F.filter(F.transform("_lines", lambda m: value_of(m.text)), lambda x: contains_any(F.lower(x), city.free_places)), F.lit(0))
+        free = F.get(F.filter(F.transform("_lines", lambda m: value_of(bare(m.text))), lambda x: contains_any(F.lower(x), city.free_places)), F.lit(0))
         place = F.coalesce(place, F.regexp_replace(free, r"[!.,]+$", ""))
     links = links_of(messages)
     if city and city.invitation_links:
