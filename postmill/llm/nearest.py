@@ -15,10 +15,13 @@ from .shared import small_batches, written
 CANDIDATE = "id long, cand long, sim float"
 #: Queries that are also answered by comparing them with every vector, to know the recall.
 PROBES = 200
+#: Random blocks grow up to so many times ``block``; beyond, queries are compared with the whole table, in blocks of so
+#: many bytes of queries, with so many candidates more than are asked for (the order is made anew by exact sums).
+LARGEST, BLOCK_BYTES, SLACK = 16, 32 << 20, 5
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): rows with an id and a vector of finite components that is not all zero, of the commonest length."""
+    """(id, vec): rows with an id and a vector of finite components that is not all zero."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(fine)
@@ -128,6 +131,7 @@ def blocks(small: DataFrame, n: int, trees: int, size: int, width: int, seed: in
 
     Sides that hold more than ``size`` vectors are split at random, so that no group grows with the table."""
     bits = max(0, math.ceil(math.log2(max(1, n / size))))
+    trees = trees if bits else 1  # all vectors fit one group, which need not be made again
     planes = np.random.default_rng(seed).standard_normal((trees * bits, width)).astype(np.float32)
 
     def run(batches):
@@ -176,6 +180,41 @@ def true_floors(keyed: DataFrame, probes: dict[int, list[float]], most: int) ->
     return {r.q: r.floor for r in kept.select("q", F.element_at("best", -1).alias("floor")).collect()}
 
 
+def compared(asked: DataFrame, nodes: DataFrame, most: int, dim: int) -> DataFrame:
+    """(q, cand): for each query (q, qvec) the ``most`` best of all nodes (cand, vec), ties to the smaller id.
+
+    Queries are taken in blocks of bounded size, one broadcast each; every task compares the block with its part of the
+    nodes and keeps ``most`` for each query, and these meet in a top-k by query. So no task holds more than one block,
+    whatever the tables' sizes."""
+    blocks_ = max(1, math.ceil(asked.count() * dim * 8 / BLOCK_BYTES))
+    spark, out = asked.sparkSession, None
+    for b in range(blocks_):
+        held = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks_)) == b).collect()
+        if not held:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r.q for r in held], np.int64), np.array([r.qvec for r in held], np.float64)))
+
+        def run(batches, sent=sent):
+            names, vecs = sent.value
+            ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for batch in batches:
+                flat, _ = lists(batch.column("vec"))
+                found = vecs @ flat.reshape(batch.num_rows, -1).T
+                ids = np.concatenate((ids, np.broadcast_to(batch.column("cand").to_numpy(), found.shape)), axis=1)
+                scores = np.concatenate((scores, found), axis=1)
+                if scores.shape[1] > most:
+                    order = np.lexsort((ids, -scores), axis=1)[:, :most]
+                    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["q", "cand", "score"])
+
+        best = written(nodes.select("cand", "vec").mapInArrow(run, "q long, cand long, score double"), "compared")
+        out = best if out is None else out.union(best)
+    if out is None:
+        return asked.select("q", F.col("q").alias("cand")).where("false")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand"))
+    return out.withColumn("place", place).where(F.col("place") <= most).select("q", "cand")
+
+
 def dot(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
@@ -187,12 +226,13 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     NN-descent: each iteration joins neighbours of neighbours, until one changes less than 0.5% of the graph. A query starts
     at its own place in the graph and in each step expands its ``expand`` best unexpanded candidates, until none is left
     among its best 2k. A sample of the queries is compared with every vector; while less than ``recall`` of their
-    neighbours are found, all queries are compared with the vectors of further random blocks, twice as large each time
-    (in the end the whole table), and go on from there. All comparisons of the result are exact, in double
-    precision on the original vectors; ties go to the smaller id.
+    neighbours are found, all queries are compared with the vectors of further random blocks, twice as large each time, and go
+    on from there; if blocks of LARGEST times ``block`` vectors do not do, queries are compared with the whole table
+    (``compared``: in blocks of queries, by all tasks). All comparisons of the result are exact, in double precision on the
+    original vectors; ties go to the smaller id.
 
-    Vectors that are null, empty, zero, of another length than most or with null or non-finite components take no part,
-    nor do null ids. Equal vectors are one node of the graph; all their ids are candidates (the k + 1 smallest ones can be
+    Vectors that are null, empty, zero or with null or non-finite components take no part, nor do null ids. Vectors of
+    another length than most are compared with all those of their own length. Equal vectors are one node of the graph; all their ids are candidates (the k + 1 smallest ones can be
     needed). Rows that repeat an id with other vectors are candidates each, ranked by their best score. Fewer than k
     others give fewer rows. Only the named columns are read. An empty table gives an empty result."""
     spark = df.sparkSession
@@ -262,12 +302,23 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         if reached >= recall or size >= n:
             break
         size *= 2
+        if size > LARGEST * block:
+            near = compared(query_vectors, nodes, k + 1 + SLACK, dim)
+            fresh = near.join(seen.select("q", "cand"), ["q", "cand"], "left_anti")
+            seen = written(ranked(seen.union(scores(fresh).withColumn("open", F.lit(False)))).where(F.col("place") <= 4 * k).drop("place"), "seen")
+            break
         limits = asked.select(F.col("node").alias("id")).distinct().join(graph.select("id", "kth"), "id", "left").select("id", F.coalesce("kth", F.lit(float("-inf"))).cast("float").alias("kth"))
         marked = small.join(limits, "id", "left").select("id", "vec", F.coalesce("kth", F.lit(float("inf"))).cast("float").alias("kth"))
         near = written(local_joins(blocks(marked, n, trees, size, dim, size), width, True).select(F.col("id").alias("node"), "cand").distinct(), "near")
         fresh = asked.select("q", "node").join(near, "node").select("q", "cand").distinct().join(seen.select("q", "cand"), ["q", "cand"], "left_anti")
         seen = expanded(written(ranked(seen.union(scores(fresh).withColumn("open", F.lit(True)))).where(F.col("place") <= 4 * k).drop("place"), "seen"))
     found = seen.join(more, seen["cand"] == more["node"], "left").select("q", F.coalesce("id", "cand").alias("id"), "score").where("q != id")
+    for r in every.where(F.size("vec") != dim).select(F.size("vec").alias("d")).distinct().collect():
+        own = every.where(F.size("vec") == r.d)
+        few = own.select(F.col("id").alias("cand"), "vec")
+        own_queries = own.where(queries).select(F.col("id").alias("q"), F.col("vec").alias("qvec")).dropDuplicates(["q"])
+        pairs = compared(own_queries, few, k + 1 + SLACK, r.d).distinct()
+        found = found.union(pairs.join(few, "cand").join(own_queries, "q").where("q != cand").select("q", F.col("cand").alias("id"), dot("qvec", "vec").alias("score")))
     found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return out.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
