@@ -129,13 +129,13 @@ p AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id, no ORDER
 x AS (SELECT doc_id, source, lang, no, kind, v, s, s + length(m) AS e FROM p WHERE length(v) >= least),
 c AS (SELECT * FROM x WHERE no < 3 UNION ALL SELECT * FROM x a WHERE no = 3 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
   AND len(list_distinct(string_split(v, ''))) >= 12 AND NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.no < 3 AND a.s < b.e AND b.s < a.e)),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY v),
+o AS (SELECT *, owners >= 3 OR repositories >= 4 AS example FROM (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(lang, chr(0))) AS repositories FROM c GROUP BY v)),
 j AS (SELECT * FROM c JOIN o USING (v)),
 a AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3 OR owners = 1) AS spans,
-  count(*) FILTER (owners = 1 AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8) AS n_live, count(*) FILTER (owners >= 3) AS n_examples FROM j GROUP BY doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3 OR owners = 1 AND NOT example) AS spans, max(owners) AS mo, max(repositories) AS mr,
+  count(*) FILTER (owners = 1 AND NOT example AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8) AS n_live, count(*) FILTER (example) AS n_examples FROM j GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples FROM t LEFT JOIN a USING (doc_id)""",
+  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples, coalesce(mo, 0)::BIGINT AS most_owners, coalesce(mr, 0)::BIGINT AS most_repositories FROM t LEFT JOIN a USING (doc_id)""",
     "op2_decontamination": f"""
 WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, len(x) AS k, array_to_string(x, ' ') AS x FROM (

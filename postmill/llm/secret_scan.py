@@ -70,13 +70,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = 3) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples) for every row of ``docs``.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = 3, example_repositories: int = 4) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples, most_owners, most_repositories) for every row of ``docs``.
 
     Base spans are found by pattern in every whole text. Values of all candidates are counted over the corpus by the
-    distinct owners and repositories that hold them. A value of ``example_owners`` owners or more is a copied example;
-    one of a single owner with a digit and 8 or more different characters looks live. Long runs of mixed letters and
-    digits outside base spans are added as spans of kind "owned" if a single owner has them.
+    distinct owners and repositories that hold them. A value of ``example_owners`` owners or ``example_repositories``
+    repositories or more is a copied example, also if one owner holds them all; another of a single owner with a digit and 8 or
+    more different characters looks live. Long runs of mixed letters and digits outside base spans are added as spans of
+    kind "owned" if a single owner has them and they are no examples. The last columns are the greatest counts among the
+    candidates of a text (0 without one).
 
     Null and empty texts have no spans. Null ids are keys like any other; rows that repeat an id and text get the same
     result each. Null owners count as one owner. Positions are code points, ends exclusive. Only the named columns are
@@ -93,13 +95,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = every.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = held.groupBy("h", "owner").agg(F.count("*").alias("repositories")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = every.select("id_", "th", "x", "h").join(owners, "h")
-    live = (F.col("owners") == 1) & F.col("x.value").rlike("[0-9]") & (variety(F.col("x.value")) >= 8)
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    own = (F.col("owners") == 1) & ~example
+    live = own & F.col("x.value").rlike("[0-9]") & (variety(F.col("x.value")) >= 8)
     by_text = judged.groupBy("id_", "th").agg(
-        F.collect_set(F.when((F.col("x.no") == len(BASE)) & (F.col("owners") == 1), F.col("x"))).alias("added"),
-        F.count_if(live).alias("live"), F.count_if(F.col("owners") >= example_owners).alias("examples"), F.count("*").alias("all"),
+        F.collect_set(F.when((F.col("x.no") == len(BASE)) & own, F.col("x"))).alias("added"),
+        F.count_if(live).alias("live"), F.count_if(example).alias("examples"), F.count("*").alias("all"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
     )
     by_text = by_text.withColumnsRenamed({"id_": "id2", "th": "th2"})
     out = scanned.join(by_text, scanned["id_"].eqNullSafe(by_text["id2"]) & (scanned["th"] == by_text["th2"]), "left")
     each = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     times = F.greatest(F.col("all") / F.size(F.concat("base", "more")), F.lit(1))  # rows that repeat an id and text share their sums
-    return out.select(F.col("id_").alias(id_col), *(each(rule[0]) for rule in BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"), F.coalesce((F.col("live") / times).cast("long"), F.lit(0).cast("long")).alias("n_live"), F.coalesce((F.col("examples") / times).cast("long"), F.lit(0).cast("long")).alias("n_examples"))
+    return out.select(F.col("id_").alias(id_col), *(each(rule[0]) for rule in BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"), F.coalesce((F.col("live") / times).cast("long"), F.lit(0).cast("long")).alias("n_live"), F.coalesce((F.col("examples") / times).cast("long"), F.lit(0).cast("long")).alias("n_examples"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("most_owners", "most_repositories")))
