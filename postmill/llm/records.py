@@ -22,6 +22,8 @@ INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u4")])
 MASK = 0xA282EAD8
 #: First byte of a payload: whether the id is not null, and whether the token ids take 2 bytes each instead of 4.
 HAS_ID, NARROW = 1, 2
+#: Pieces that the library encodes in one call, as it holds far more than ids for each.
+AT_ONCE = 4096
 
 
 def masked(data: bytes) -> int:
@@ -108,7 +110,8 @@ class Encoder:
                 new = np.arange(len(uniq))
             text = cp[spans_in(starts[new], lens[new])].tobytes().decode("utf-32-le")
             ends = np.cumsum(lens[new]).tolist()
-            ids = [x.ids for x in self.library.encode_batch_fast([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], add_special_tokens=False)]
+            cut = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            ids = [x.ids for k in range(0, len(cut), AT_ONCE) for x in self.library.encode_batch_fast(cut[k : k + AT_ONCE], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             offsets = len(self.flat) + np.cumsum(size) - size
             self.flat = np.concatenate((self.flat, np.fromiter((y for x in ids for y in x), np.uint32, int(size.sum()))))
@@ -143,7 +146,7 @@ def write_records(docs: DataFrame, tokenizer: str, base: str | None = None, id_c
         part = TaskContext.get().partitionId()
         try:
             for batch in batches:
-                for piece in slices(batch, "text_", 2 << 20):
+                for piece in slices(batch, "text_", 1 << 20):
                     if out is None:
                         where, root = pafs.FileSystem.from_uri(base)
                         where.create_dir(root, recursive=True)
