@@ -6,14 +6,19 @@ variants that lack a phone, a company, labels, or name several roles.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import contacts, hashing, lines, text
+from ..functions.decoding import decode_accumulating
 from ..operators import about_details, caption, channel_posts, dedup, jobs, listing_posts, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
 from ..operators.source_details import source_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured, with_own_details
+from ..sources import tables
 from ..sources.messages import decode_raw, encode_raw
 
 QUERIES: dict = {}
@@ -170,6 +175,45 @@ def find_by_id(spark, sf_dir):
     return publication.find_by_id(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), 7)
 
 
+def clustered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table of jobs that is clustered by time and place, written and read back."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("place "), (F.col("o_custkey") % 40).cast("string")).alias("location"), F.col("o_orderdate").alias("posted_at"), F.lit(0).alias("created_at"))
+    path = f"{dedup.scratch_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    tables.write_clustered(o, path)
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderdate AS posted_at FROM orders WHERE o_custkey % 40 = 7 AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'""")
+def jobs_by_location(spark, sf_dir):
+    """The jobs of a place within a time, from the clustered table."""
+    since, until = (F.lit(x).cast("timestamp_ntz") for x in ("1995-01-01", "1996-07-01"))
+    return tables.by_location(clustered_orders(spark, sf_dir), "place 7", since, until).select("id", "posted_at")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderdate AS posted_at, o_orderpriority AS title FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') ORDER BY o_orderdate, o_orderkey::VARCHAR LIMIT 25""")
+def ready_from_clustered(spark, sf_dir):
+    """The oldest unpublished jobs, chosen by narrow columns of the clustered table and then read whole."""
+    posts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("job_id"), F.col("l_returnflag").alias("channel_chat_id"))
+    return tables.ready_from_clustered(clustered_orders(spark, sf_dir), posts, "R", 25).select("id", "posted_at", "title")
+
+
+@query("""WITH j AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN replace(props, '"k"', '"x"') WHEN 2 THEN '{"k": "' || event_type || '", "name": 5}' WHEN 3 THEN '{"k": null, "name": "' || event_type || '"}' WHEN 4 THEN 'oops ' || event_type ELSE replace(props, '}', '.5}') END AS j FROM events),
+t AS (SELECT *, json_valid(j) AS fine, CASE WHEN json_valid(j) THEN json_type(j, '$.k') END AS k, CASE WHEN json_valid(j) THEN json_type(j, '$.name') END AS n FROM j),
+p AS (SELECT *, CASE WHEN NOT fine THEN '=no JSON object' ELSE concat_ws('; ', CASE WHEN k IS NULL THEN 'k=missing' WHEN k = 'NULL' THEN 'k=null' WHEN k NOT IN ('BIGINT', 'UBIGINT') THEN 'k=expected bigint' END, CASE WHEN n NOT IN ('VARCHAR', 'NULL') THEN 'name=expected string' END) END AS problems FROM t)
+SELECT event_id, problems, CASE WHEN problems = '' THEN json_extract(j, '$.k')::BIGINT END AS k FROM p""")
+def decode_all_faults(spark, sf_dir):
+    """Properties of events, some damaged, decoded with every fault of every field."""
+    v, e = F.col("event_id") % 6, F.col("event_type")
+    j = (
+        F.when(v == 0, F.col("props")).when(v == 1, F.replace("props", F.lit('"k"'), F.lit('"x"'))).when(v == 2, F.concat(F.lit('{"k": "'), e, F.lit('", "name": 5}'))).when(v == 3, F.concat(F.lit('{"k": null, "name": "'), e, F.lit('"}')))
+        .when(v == 4, F.concat(F.lit("oops "), e)).otherwise(F.replace("props", F.lit("}"), F.lit(".5}")))
+    )
+    schema = StructType([StructField("k", LongType()), StructField("name", StringType())])
+    d = read(spark, sf_dir, "events").select("event_id", decode_accumulating(j, schema, ("k",)).alias("x"))
+    said = F.array_join(F.transform("x.problems", lambda p: F.concat(p.field, F.lit("="), p.problem)), "; ")
+    return d.select("event_id", said.alias("problems"), "x.value.k")
+
+
 @query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
 def norm_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.normalize_key(F.col("text")).alias("norm"))
@@ -548,7 +592,7 @@ def parse_structured_with_own_details(spark, sf_dir):
         F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "\n– @hr_", "$s_suppkey", "x",
     )
     posts = posts_of(spark, sf_dir, "ishchi_bor_kerak_toshkent", F.lit("raw_post"), told)
-    p = parse_structured(dedup.written(with_own_details(about_details.details_with_about(posts))))
+    p = dedup.written(parse_structured(dedup.written(with_own_details(about_details.details_with_about(posts)))))
     return p.where("ok").select("k", F.col("parsed_title").alias("title"), F.col("parsed_company").alias("company"), "requirements", "responsibilities", "benefits", "work_schedule", F.array_join("contact_phone_numbers", ",").alias("phones"), F.array_join("contact_telegram_usernames", ",").alias("names"))
 
 

@@ -15,3 +15,4 @@ CHANNEL_POSTS = "id STRING, job_id STRING, channel_chat_id STRING, telegram_mess
 REGISTRATION = "plugin_name STRING, channel STRING, source STRING, enabled BOOLEAN"
 OUTCOMES = "source STRING, url STRING, posted_at TIMESTAMP, outcome STRING, reason STRING"
 DEAD_LETTERS = "plugin_name STRING, channel STRING, id BIGINT, url STRING, error STRING"
+ATTEMPTS = "key STRING, job_id STRING, channel_chat_id STRING, caption STRING, html BOOLEAN, message_id BIGINT, error STRING, at TIMESTAMP"

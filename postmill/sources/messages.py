@@ -47,8 +47,16 @@ def undecodable(events: DataFrame) -> DataFrame:
     return events.where(decode_raw(F.col("value")).isNull())
 
 
-def kafka_options(servers: str, topic: str = TOPIC, starting: str = "earliest") -> dict[str, str]:
-    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
+def kafka_options(servers: str, topic: str = TOPIC, starting: str = "earliest", group: str | None = None, poll_records: int | None = None) -> dict[str, str]:
+    """Options of a topic source. ``group`` is the consumer group that brokers see (Spark keeps its own offsets in the
+    checkpoint), ``poll_records`` the most records that a consumer fetches at a time."""
+    more = {"kafka.group.id": group, "kafka.max.poll.records": poll_records and str(poll_records)}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"} | {k: v for k, v in more.items() if v}
+
+
+def sink_options(servers: str, topic: str = TOPIC) -> dict[str, str]:
+    """Options of the topic sink: every replica acknowledges, and a producer's retries add nothing twice."""
+    return {"kafka.bootstrap.servers": servers, "kafka.acks": "all", "kafka.enable.idempotence": "true", "topic": topic}
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str = TOPIC, starting: str = "earliest", most: int | None = None) -> DataFrame:
@@ -57,9 +65,20 @@ def read_topic(spark: SparkSession, servers: str, topic: str = TOPIC, starting:
     return df.limit(most) if most else df
 
 
-def read_topic_stream(spark: SparkSession, servers: str, topic: str = TOPIC, per_trigger: int = 100_000) -> DataFrame:
-    return spark.readStream.format("kafka").options(**kafka_options(servers, topic)).option("maxOffsetsPerTrigger", per_trigger).load()
+def read_topic_stream(spark: SparkSession, servers: str, topic: str = TOPIC, per_trigger: int = 100_000, group: str | None = None, poll_records: int | None = None) -> DataFrame:
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, group=group, poll_records=poll_records)).option("maxOffsetsPerTrigger", per_trigger).load()
+
+
+def run_decoding(events: DataFrame, sink, dead_path: str, checkpoint: str):
+    """Start a stream of a topic's rows (value): decoded raw jobs go to ``sink`` (DataFrame, number of the batch), rows that
+    cannot be decoded to ``dead_path`` under the same number, so that a batch that is run again writes them once."""
+
+    def both(rows: DataFrame, number: int) -> None:
+        undecodable(rows).write.mode("overwrite").json(f"{dead_path}/batch={number}")
+        sink(decoded(rows), number)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(both).trigger(availableNow=True).start()
 
 
 def write_topic(raw: DataFrame, servers: str, topic: str = TOPIC) -> None:
-    encode_raw(raw).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("topic", topic).save()
+    encode_raw(raw).write.format("kafka").options(**sink_options(servers, topic)).save()
