@@ -26,7 +26,7 @@ def raw_passthrough(messages: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     kept = messages.where(F.coalesce(text, F.lit("")) != "")
     # what was exported and is no link stays as it is
-    odd = F.filter(F.transform("contact_links", F.trim), lambda x: (x != "") & clean_link(x).isNull())
+    odd = F.filter(F.transform("contact_links", lambda x: F.trim(x)), lambda x: (x != "") & clean_link(x).isNull())
     links = F.array_distinct(F.concat(F.coalesce(odd, F.array().cast("array<string>")), links_of(kept)))
     return kept.select(F.lit("raw_post").alias("title"), null.alias("company"), text.alias("description"), null.alias("salary"), null.alias("location"), "source", "url", F.coalesce("date", F.current_timestamp()).alias("posted_at"), links.alias("contact_links"))
 
@@ -139,12 +139,12 @@ class Registry:
                 return []
             if depth == DEPTH:
                 return [(rows, error)]
-            failed = []
-            for i in range(PARTS):
+            failed, there = [], [r.part for r in rows.select(part_of(depth).alias("part")).distinct().collect()]
+            for i in sorted(there):
                 part = rows.where(part_of(depth) == i)
-                if part.limit(1).count() and (e := tried(rule, part, f"{path}/{depth}-{i}/out")):
+                if e := tried(rule, part, f"{path}/{depth}-{i}/out"):
                     failed.append((i, part, e))
-            if len(failed) == PARTS or rows.count() == 1:
+            if len(failed) == len(there):
                 return [(rows, error)]
             return [x for i, part, e in failed for x in run(rule, part, f"{path}/{depth}-{i}", depth + 1, e)]
 

@@ -464,6 +464,22 @@ def dispatch_outcomes(spark, sf_dir):
     return both.groupBy("source").agg(F.sum("j").alias("jobs"), F.sum("d").alias("dead"))
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/signs/' || k AS url, p_name || ' kassir / Oshpaz ( ayol )' AS title, {_FIRM} AS company, p_size || ' mln' AS salary, n_name || ' (bozor)' AS location FROM p WHERE v = 0
+UNION ALL SELECT 'https://t.me/city_signs/' || k, 'kuryer', {_FIRM} || ' Trading kompaniyasi', p_size || ' mln', n_name || ' shahar, metro' FROM p WHERE v = 1""")
+def channel_signs(spark, sf_dir):
+    """Notices with joined emoji before and behind words, and posts of a city's channel with signs and dashes that no list names."""
+    v, firm = F.col("p_partkey") % 2, _text("Firma", "$s_suppkey")
+    joined = _text("💁🏻‍♂ Bo'sh ish o'rinlari ⬇\n1. ", "$p_name", " kassir 👨🏻‍💻\n2. Oshpaz ( ayol ) 👷🏻‍♂\n👩‍💼 Ish beruvchi: ", firm, "\n💰 Oylik: ", "$p_size", " mln\n❤️‍🔥 Manzil: ", "$n_name", "\n🏳️‍🌈 Mo'ljal: bozor")
+    city = _text("⚡️ ", firm, " Trading kompaniyasiga kuryer kerak\n💵 Maosh: ", "$p_size", " mln\n📍 Hudud: Toshkent\n⏰ Ish vaqti:\n– 09:00 dan\n📌 Manzil:\n– ", "$n_name", " shahar, metro\n☎️ Bog‘lanish:\n– +998901234567")
+    registry = jobs.Registry()
+    registry.register("signs", "signs", "signs", listing_posts.notices)
+    registry.register("city_signs", "city_signs", "city_signs", lambda df: listing_posts.notices(df, listing_posts.CITIES["ishchi_bor_kerak_toshkent"]))
+    posts = posts_of(spark, sf_dir, "signs", v, F.when(v == 0, joined).otherwise(city)).withColumn("channel", F.when(F.col("title") == 0, "signs").otherwise("city_signs"))
+    messages = posts.select(F.col("k").alias("id"), F.col("posted_at").alias("date"), F.col("description").alias("text"), F.concat(F.lit("https://t.me/"), "channel", F.lit("/"), F.col("k").cast("string")).alias("url"), "contact_links", "channel")
+    return registry.ingest(messages).select("url", "title", "company", "salary", "location")
+
+
 @query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
 def replay_counts(spark, sf_dir):
     """How many messages of the channel were read, skipped, and how many jobs came of them."""
@@ -583,12 +599,12 @@ def details_with_about(spark, sf_dir):
     return d.select("k", "benefits", "requirements", "responsibilities", "work_schedule")
 
 
-@query("""SELECT p_partkey AS k, p_name AS title, 'Firma' || s_suppkey AS company, '18 - 35 yosh' AS requirements, 'Mijozlar bilan ishlash ' || p_size || chr(10) || 'Sotuvni amalga oshirish' AS responsibilities, 'Bepul tushlik' || chr(10) || 'Bepul transport' AS benefits,
+@query("""SELECT p_partkey AS k, p_name AS title, 'Firma' || s_suppkey AS company, '18 - 35 yosh' AS requirements, 'Mijozlar bilan ishlash ' || p_size || chr(10) || 'Sotuvni amalga oshirish' AS responsibilities, 'Bepul tushlik' || chr(10) || 'Bonus beriladi' AS benefits,
 '09:00 dan 18:00 gacha' AS work_schedule, '+99890' || lpad(p_partkey::VARCHAR, 7, '0') AS phones, 'hr_' || s_suppkey || 'x' AS names FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""")
 def parse_structured_with_own_details(spark, sf_dir):
     """Strictly labelled posts of a source whose own rules find more: sections are merged with the lines about the work."""
     told = _text(
-        "Lavozim: ", "$p_name", "\nKompaniya: Firma", "$s_suppkey", "\nMaosh: ", "$p_size", " mln\nHudud: Toshkent\n📣 Ish haqida:\n– Mijozlar bilan ishlash ", "$p_size", "\n– Bepul transport\n– Sotuvni amalga oshirish\n❗️ Talablar:\n– 18 - 35 yosh\nQulayliklar:\n- Bepul tushlik\n⏰ Ish vaqti:\n– 09:00 dan 18:00 gacha\n☎️ Bog‘lanish:\n– +99890",
+        "Lavozim: ", "$p_name", "\nKompaniya: Firma", "$s_suppkey", "\nMaosh: ", "$p_size", " mln\nHudud: Toshkent\n📣 Ish haqida:\n– Mijozlar bilan ishlash ", "$p_size", "\n– Bonus beriladi\n– Sotuvni amalga oshirish\n❗️ Talablar:\n– 18 - 35 yosh\nQulayliklar:\n- Bepul tushlik\n⏰ Ish vaqti:\n– 09:00 dan 18:00 gacha\n☎️ Bog‘lanish:\n– +99890",
         F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "\n– @hr_", "$s_suppkey", "x",
     )
     posts = posts_of(spark, sf_dir, "ishchi_bor_kerak_toshkent", F.lit("raw_post"), told)
