@@ -18,6 +18,7 @@ from ..operators import about_details, caption, channel_posts, dedup, jobs, list
 from ..operators.field_only import parse_field_only, with_details
 from ..operators.source_details import source_details
 from ..operators.structured import detect_label, is_multi_role, parse_structured, with_own_details
+from ..sources import channel as channel_source
 from ..sources import tables
 from ..sources.messages import decode_raw, encode_raw
 
@@ -480,6 +481,14 @@ def channel_signs(spark, sf_dir):
     return registry.ingest(messages).select("url", "title", "company", "salary", "location")
 
 
+@query("""SELECT doc_id AS id, text, 'https://t.me/' || source || '/' || doc_id AS url, source AS channel FROM documents ORDER BY doc_id DESC LIMIT 250""")
+def export_newest(spark, sf_dir):
+    """The newest messages of an export of all documents, read by pages from the newest on."""
+    path = f"{dedup.scratch_dir(spark)}/export-{uuid.uuid4().hex}"
+    channel_source.write_export(raw_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("description").alias("text"), "url", F.col("source").alias("channel")), path, 200)
+    return channel_source.read_export(spark, path, 250).select("id", "text", "url", "channel")
+
+
 @query("""SELECT count(*) AS read, (count(*) FILTER (p_partkey % 4 IN (0, 2)) + 2 * count(*) FILTER (p_partkey % 4 = 1))::BIGINT AS published, count(*) FILTER (p_partkey % 4 = 3) AS skipped FROM part""")
 def replay_counts(spark, sf_dir):
     """How many messages of the channel were read, skipped, and how many jobs came of them."""
