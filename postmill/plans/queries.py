@@ -536,6 +536,28 @@ def ingest_jobs(spark, sf_dir):
     return new.select("source_url", "title", "company")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS v, '🔥 <b>Job &amp; ' || p_name || '</b>' || chr(10) || chr(10) || '💸 <b>Maosh:</b> ' || p_size || ' mln' || chr(10) || chr(10) || '📋 <b>Talablar:</b>' || chr(10) AS head,
+ (1018 - (9 + length(p_name)) - 2 - (10 + length(p_size || ' mln')) - 2 - 12) // 13 AS n FROM part)
+SELECT k, head || array_to_string(list_transform(range(1, n + 1), lambda i: '• Talab ' || lpad(i::VARCHAR, 4, '0')), chr(10)) || chr(10) || chr(10) || '@ads' AS caption FROM p WHERE v = 0
+UNION ALL SELECT k, head || '• Talab bir' || chr(10) || '• Talab ikki' || chr(10) || chr(10) || '🎁 <b>Qulayliklar:</b>' || chr(10) || '• Bepul tushlik' || chr(10) || chr(10) || '✨ <b>Qo''shimcha:</b>' || chr(10) || '• Eslatma &lt;muhim&gt;' || chr(10) || chr(10)
+ || '📨 <b>Murojaat:</b>' || chr(10) || '• Soat 9 dan' || chr(10) || chr(10) || '🔗 <b>Havolalar:</b>' || chr(10) || '• <a href="https://x.example/?a=1&amp;b=&quot;' || k || '&quot;">Murojaat 1</a>' || chr(10) || chr(10) || '☎️ <b>Telefon:</b>' || chr(10) || '• +99890' || lpad(k::VARCHAR, 7, '0') || chr(10) || chr(10) || '@ads' FROM p WHERE v = 1""")
+def caption_blocks(spark, sf_dir):
+    """Captions that reach the limit (the list is cut after the last line that fits, and nothing more does) and captions with
+    all blocks: links, lines that repeat a phone, labels and calls that go."""
+    k, v = F.col("p_partkey").cast("string"), F.col("p_partkey") % 2
+    phone = F.concat(F.lit("+99890"), F.lpad(k, 7, "0"))
+    many = "\n".join(f"Talab {i:04}" for i in range(1, 101))
+    short = lambda *x: F.when(v == 1, F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x)))
+    values = {
+        "title": _text("Job & ", "$p_name"), "salary": _text("$p_size", " mln"), "requirements": F.when(v == 0, many).otherwise("Talab bir\n• Talab ikki"), "benefits": short("Bepul tushlik\n", phone, "\nRezyume yuboring"),
+        "additional": short("Eslatma <muhim>\nOylik 5 mln\nManzil: X"), "contact_text": short("Murojaat uchun\n", phone, "\nSoat 9 dan"), "contact_phone_numbers": F.array(phone), "contact_links": F.array(F.concat(F.lit('https://x.example/?a=1&b="'), k, F.lit('"'))),
+        "contact_telegram_usernames": F.array().cast("array<string>"),
+    }
+    rest = ["description", "company", "location", "responsibilities", "work_schedule"]
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *(x.alias(c) for c, x in values.items()), *(F.lit(None).cast("string").alias(c) for c in rest))
+    return rows.select("k", caption.render("ads").alias("caption"))
+
+
 _TEL = "'Tel: +99890' || lpad(p_partkey::VARCHAR, 7, '0')"
 LOOSE_SQL = f"""loose AS (
 SELECT p_partkey AS k, p_partkey % 7 AS v, p_name, p_size, p_type, n_name, s_suppkey,
