@@ -159,13 +159,13 @@ def role_headings() -> Column:
     return F.array_compact(F.transform("_lines", heads))
 
 
-def vacancies(messages: DataFrame) -> DataFrame:
+def vacancies(messages: DataFrame, split: bool = True) -> DataFrame:
     """Raw jobs of messages (text, url, date, contact_links, channel, source): a rule for ``Registry.register``.
 
     Messages without signs of a vacancy, with blocked phrases, or with another tag in their first three lines give none,
     nor do those without a title. A heading that announces several roles gives a job for each role heading below it (two at
-    least), with the lines up to the next one and the contacts at the end; else a message is one job. Staged in selects; no
-    shuffle. The rows are written before those without a title go, so that no filter is pushed into the expressions."""
+    least), with the lines up to the next one and the contacts at the end; else a message is one job, as every message is
+    where ``split`` is false: its title then names the roles. Staged in selects; no shuffle. The rows are written before those without a title go, so that no filter is pushed into the expressions."""
     text = strip(F.regexp_replace(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\u00a0\u200b", "  "), r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
     s = messages.withColumn("_text", text).withColumn("_low", F.lower("_text"))
     wanted = F.lit(False)
@@ -193,7 +193,7 @@ def vacancies(messages: DataFrame) -> DataFrame:
         F.when(F.size("_roles") > 0, join_roles(F.transform("_roles", short))).when(heading.rlike(ROLE_AT), title_of(F.regexp_extract(heading, ROLE_AT, 2))).when(heading.rlike(ROLE_ALONE), whole_or(ROLE_ALONE))
         .when(heading.rlike(ROLE_WANTED), whole_or(ROLE_WANTED)).when(F.get(F.col("_lines"), F.col("_at")).noise, F.lit(None)).otherwise(title_of(invited))
     )
-    several = F.col("_list") & (F.size("_below") >= 2)
+    several = F.lit(split) & F.col("_list") & (F.size("_below") >= 2)
     s = s.withColumn("_title", named).select("*", F.posexplode_outer(F.when(several, F.col("_below")).otherwise(F.array(F.lit(None).cast("int")))).alias("_i", "_begin"))
     end = F.coalesce(F.get(F.col("_below"), F.col("_i") + 1), F.size("_texts"))
     last = F.slice("_lines", F.element_at("_below", -1) + 1, F.size("_lines"))

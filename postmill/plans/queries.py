@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions import contacts, hashing, lines, text
+from ..functions import contacts, forms, hashing, lines, text
 from ..functions.decoding import decode_accumulating
 from ..operators import about_details, caption, channel_posts, dedup, jobs, listing_posts, narrative, publication, semi_structured
 from ..operators.field_only import parse_field_only, with_details
@@ -176,6 +176,39 @@ def find_by_id(spark, sf_dir):
     return publication.find_by_id(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), 7)
 
 
+_FORM = "replace(replace(replace(url_encode({}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+
+
+@query(f"""SELECT page_id, '/pages?' || concat_ws('&', 'url=' || {_FORM.format('url')}, 'a+%26+b=' || {_FORM.format("'t ' || page_id || ' ~*/ ў'")}, CASE WHEN page_id % 3 = 0 THEN 'n=' || page_id END) AS uri FROM pages""")
+def page_query_strings(spark, sf_dir):
+    """Links of pages, with their fields as a query string; a field without a value is left out."""
+    fields = {"url": F.col("url"), "a & b": F.concat(F.lit("t "), F.col("page_id").cast("string"), F.lit(" ~*/ ў")), "n": F.when(F.col("page_id") % 3 == 0, F.col("page_id").cast("string"))}
+    params = F.create_map(*(y for name, value in fields.items() for y in (F.lit(name), value)))
+    return read(spark, sf_dir, "pages").select("page_id", forms.with_query(F.lit("/pages"), params).alias("uri"))
+
+
+@query("""SELECT event_id, '{"id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"kind":"' || event_type || '"' ELSE '' END || ',"list":[' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '{"u":' || user_id || '},' END || '{}],"map":{' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '"k":[' || event_id || ']' END || '}}' AS body FROM events""")
+def event_json_bodies(spark, sf_dir):
+    """Events as JSON without nulls at any depth: fields, elements of lists and values of maps."""
+    unless = lambda n, x: F.when(F.col("event_id") % n != 0, x)
+    user = F.struct(F.col("user_id").alias("u"))
+    fields = {
+        "id": F.col("event_id"), "kind": F.when(F.col("event_id") % 2 == 0, F.col("event_type")), "list": F.array(unless(3, user), F.struct(F.lit(None).cast("long").alias("u"))),
+        "map": F.create_map(F.lit("k"), unless(5, F.array(F.lit(None).cast("long"), F.col("event_id"))), F.lit("none"), F.lit(None).cast("array<bigint>")),
+    }
+    rows = read(spark, sf_dir, "events").select("event_id", F.struct(*(x.alias(c) for c, x in fields.items())).alias("event"))
+    return rows.select("event_id", forms.json_body(F.col("event"), rows.schema["event"].dataType).alias("body"))
+
+
+@query("""SELECT doc_id, CASE WHEN source IS NULL THEN 0 ELSE 1 END + CASE WHEN lang IS NULL THEN 0 ELSE 1 END AS parts, CASE WHEN source IS NOT NULL THEN coalesce(text, '') END AS of_source, CASE WHEN lang IS NOT NULL THEN 'l' || doc_id END AS of_lang FROM documents""")
+def document_text_parts(spark, sf_dir):
+    """Documents as parts of a form that repeat a name or have none, as a map from name to text."""
+    part = lambda name, value: F.struct(name.alias("name"), value.alias("text"))
+    parts = F.array(part(F.col("source"), F.lit("first")), part(F.col("lang"), F.concat(F.lit("l"), F.col("doc_id").cast("string"))), part(F.lit(" "), F.lit("blank")), part(F.lit(None).cast("string"), F.lit("none")), part(F.col("source"), F.col("text")))
+    made = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", forms.text_parts(parts).alias("made"))
+    return made.select("doc_id", F.size("made").alias("parts"), F.try_element_at("made", "source").alias("of_source"), F.try_element_at("made", "lang").alias("of_lang"))
+
+
 def clustered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a table of jobs that is clustered by time and place, written and read back."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("place "), (F.col("o_custkey") % 40).cast("string")).alias("location"), F.col("o_orderdate").alias("posted_at"), F.lit(0).alias("created_at"))
@@ -397,6 +430,16 @@ def channel_vacancies(spark, sf_dir):
     return channel_jobs(channel_messages(spark, sf_dir)).select("url", "title", "company", "salary", "location")
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'https://t.me/vacancies/' || k AS url, CASE v WHEN 0 THEN p_name WHEN 1 THEN p_name || ' sotuvchi / Kassir' ELSE p_name || ' / Farrosh' END AS title, CASE WHEN v < 2 THEN {_FIRM} || ' firmasi' END AS company,
+ CASE WHEN v < 2 THEN p_size || ' mln' ELSE 'kelishiladi' END AS salary, n_name AS location FROM p WHERE v < 3""")
+def channel_single_vacancies(spark, sf_dir):
+    """Messages of a channel by its rule, one job for each: a list of roles is named in the title."""
+    registry = jobs.Registry()
+    registry.register("vacancies", "vacancies", "vacancies", lambda messages: channel_posts.vacancies(messages, split=False))
+    return registry.ingest(channel_messages(spark, sf_dir)).select("url", "title", "company", "salary", "location")
+
+
 @query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v, p_name, p_size, n_name, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) JOIN nation ON n_nationkey = s_nationkey)
 SELECT 'https://t.me/notices/' || k AS url, CASE v WHEN 0 THEN p_name WHEN 1 THEN p_name || ' kassir / Oshpaz' ELSE {_FIRM} || ' kafesiga oshpaz kerak' END AS title, CASE v WHEN 2 THEN {_FIRM} || ' kafe' ELSE {_FIRM} END AS company,
  CASE WHEN v <> 2 THEN p_size || ' mln' END AS salary, CASE WHEN v <> 2 THEN n_name END AS location FROM p WHERE v < 3""")

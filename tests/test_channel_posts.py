@@ -39,6 +39,16 @@ def test_messages_become_jobs(spark):
     assert got["9"].title == "Mahoratli usta" and got["10"].title == "Nur jamoasi kengayishi munosabati bilan oshpaz kerak"
 
 
+def test_a_list_of_roles_as_one_job(spark):
+    signs = "\n".join(["#ish", "''Texno bozor'' jamoasiga quyidagi lavozimlarga ishga taklif qilinadi.", "", "▪️ Brend Face", "Talablar:", "• Faqat ayol-qizlar", "", "Ish vaqti va oylik suhbat asosida kelishiladi", "", "▪️Bosh buxgalter", "Talablar:", "• 1C dasturlarida ishlay olish", "", "Oylik suhbat asosida kelishiladi", "", "Manzil: Urganch shahri", "Tel: +998905589009"])
+    rows = messages(spark, signs, LIST, ONE, None).withColumn("source", F.lit("xorazm_ish"))
+    got = {x.url.split("/")[-1]: x for x in vacancies(rows, split=False).collect()}
+    assert set(got) == {"0", "1", "2"}
+    assert (got["0"].title, got["0"].company, got["0"].location, got["0"].salary) == ("Brend Face / Bosh buxgalter", "Texno bozor", "Urganch shahri", "suhbat asosida kelishiladi")
+    assert got["1"].title == "Sotuvchi / Kassir" and got["1"].description == LIST
+    assert got["2"].title == "oshpaz"
+
+
 def test_links_of_a_message(spark):
     df = spark.createDataFrame([(["(https://a.example/x)", "ftp://b", "https://t.me/Other/3", "https://telegram.me/s/chan?x"], "see https://a.example/x, t.me/chan/7 http://c.example!", "https://t.me/chan/9"), (None, None, None)], "l array<string>, t string, u string")
     got = df.select(message_links(F.col("l"), F.col("t"), F.array(F.lit("@Chan"), F.lit(None).cast("string")), F.col("u")).alias("x")).collect()
