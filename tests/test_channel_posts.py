@@ -40,7 +40,7 @@ def test_messages_become_jobs(spark):
 
 
 def test_a_list_of_roles_as_one_job(spark):
-    signs = "\n".join(["#ish", "''Texno bozor'' jamoasiga quyidagi lavozimlarga ishga taklif qilinadi.", "", "▪️ Brend Face", "Talablar:", "• Faqat ayol-qizlar", "", "Ish vaqti va oylik suhbat asosida kelishiladi", "", "▪️Bosh buxgalter", "Talablar:", "• 1C dasturlarida ishlay olish", "", "Oylik suhbat asosida kelishiladi", "", "Manzil: Urganch shahri", "Tel: +998905589009"])
+    signs = "\n".join(["#ish", "''Texno bozor'' jamoasiga quyidagi lavozimlarga ishga taklif qilinadi.", "", "▪️ Brend Face", "Talablar:", "• Faqat ayol-qizlar", "", "Ish vaqti va oylik suhbat asosida kelishiladi", "", "▪️Bosh buxgalter", "Talablar:", "• Tajribali bo'lish", "• 1C dasturlarida ishlay olish", "", "Oylik suhbat asosida kelishiladi", "", "Manzil: Urganch shahri", "Tel: +998905589009"])
     rows = messages(spark, signs, LIST, ONE, None).withColumn("source", F.lit("xorazm_ish"))
     got = {x.url.split("/")[-1]: x for x in vacancies(rows, split=False).collect()}
     assert set(got) == {"0", "1", "2"}
