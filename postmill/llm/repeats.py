@@ -318,8 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), k, pa.array(np.concatenate(pos).astype(np.int64))], names=["g", "k", "pos"])
 
     grams = texts.select(F.xxhash64("c").alias("k"), "text_").mapInArrow(thin, "g long, k long, pos long")
-    spot = F.xxhash64("k", "pos")
-    once = grams.groupBy("g").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.min("k").alias("k"), F.min("pos").alias("pos")).where("low = high")
+    once = grams.groupBy("g").agg(F.min("k").alias("k"), F.max("k").alias("k_last"), F.min("pos").alias("pos"), F.max("pos").alias("pos_last")).where("k = k_last and pos = pos_last")
     marks = once.groupBy("k").agg(F.array_sort(F.collect_list("pos")).alias("marks"))
     marked = texts.join(marks, F.xxhash64("c") == F.col("k"), "left").select("c", "text_", "spots", F.coalesce("marks", F.array().cast("array<bigint>")).alias("marks"))
 
@@ -344,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # a place is a number such that equal places are equal and neighbours differ by their distance
     pieces = marked.mapInArrow(surround, "g binary, s binary, c binary, begin int, size int, at int")
-    pieces = tables.write(pieces.withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin")), "pieces")
+    pieces = tables.write(pieces, "pieces").withColumn("place", F.shiftrightunsigned(F.xxhash64("c"), 1) + F.col("begin"))
     held = pieces.groupBy("g", "s").agg(F.min("place").alias("place"), F.max("place").alias("other"), F.min(F.struct("c", "begin", "size", "at")).alias("from"))
     held = tables.write(held, "contents")
 
@@ -364,12 +363,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = texts.select("c", "text_").join(wanted, F.col("c") == F.col("c3")).select("text_", "wanted")
         return near.mapInArrow(cut_out, "g binary, s binary, place long, other long, at int, piece binary")
 
-    levels, results = [], [tables.write(sort_groups(with_bytes(False), length), "spans")]
-    hot = tables.write(with_bytes(True).withColumns({"lo": F.lit(0), "hi": F.lit(reach)}), "hot")
+    # tables of a level go as soon as the next level, or the way back, has been written
+    levels, results = [], [tables.write(sort_groups(with_bytes(False), length), "spans0")]
+    hot = tables.write(with_bytes(True).withColumns({"lo": F.lit(0), "hi": F.lit(reach)}), "hot0")
     while hot.limit(1).count():
-        parts = tables.write(part_groups(hot, length, not levels), "parts")
+        level = len(levels)
+        parts = tables.write(part_groups(hot, length, not levels), f"parts{level}")
         facts = parts.groupBy("child_g", "child_s").agg(F.min("place").alias("place"), F.max("other").alias("other"), F.min(F.struct("g", "s", "begin", "size", "at", "lo", "hi")).alias("from"))
-        facts = tables.write(facts, "contents")
+        facts = tables.write(facts, "facts")
         sizes = facts.groupBy("child_g").agg(F.count("*").alias("texts")).where("texts > 1")
         source = hot.select(F.col("g").alias("g2"), F.col("s").alias("s2"), "piece")
         bytes_ = facts.join(sizes, "child_g").join(source, (F.col("from.g") == F.col("g2")) & (F.col("from.s") == F.col("s2")))
@@ -377,12 +378,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bytes_ = bytes_.select(F.col("child_g").alias("g"), F.col("child_s").alias("s"), "place", "other", F.col("from.at").alias("at"), F.col("from.lo").alias("lo"), F.col("from.hi").alias("hi"), piece.alias("piece"), "texts")
         whole = facts.where("place != other").select(F.col("child_g").alias("g"), F.col("child_s").alias("s"), F.array(F.lit(0), F.col("from.size")).alias("spans"))
         levels.append(parts.select("g", "s", "child_g", "child_s", "begin"))
-        results.append(tables.write(sort_groups(bytes_.where(F.col("texts") <= GROUP), length).union(whole), "spans"))
-        hot = tables.write(bytes_.where(F.col("texts") > GROUP).drop("texts"), "hot")
-    for parts in reversed(levels):  # from the parts back to the surroundings that they were cut from
+        results.append(tables.write(sort_groups(bytes_.where(F.col("texts") <= GROUP), length).union(whole), f"spans{level + 1}"))
+        hot = tables.write(bytes_.where(F.col("texts") > GROUP).drop("texts"), f"hot{level + 1}")
+        tables.drop("facts", f"hot{level}")
+    for level, parts in reversed(list(enumerate(levels))):  # from the parts back to the surroundings that they were cut from
         spans = results.pop()
         joined = parts.join(spans.withColumnsRenamed({"g": "child_g", "s": "child_s"}), ["child_g", "child_s"])
-        results[-1] = tables.write(results[-1].union(shifted(joined)), "spans")
+        results[-1] = tables.write(results[-1].union(shifted(joined)), f"merged{level}")
+        tables.drop(f"parts{level}", f"spans{level}", f"spans{level + 1}", f"merged{level + 1}")
 
     whole = held.where("place != other").select("g", "s", F.array(F.lit(0), F.col("from.size")).alias("spans"))
     covered = pieces.select("g", "s", "c", "begin").join(whole.union(results[0]), ["g", "s"])
