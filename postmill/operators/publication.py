@@ -39,11 +39,13 @@ def merge_latest_published(jobs: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def new_posts(posts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates that are first for their (job, chat) and not among posts."""
+    """The candidates that are first for their (job, chat) and not among posts, one for each: of rows that repeat the first time
+    and id one stays. Null times and ids come last; null keys are a key of their own, which no post has."""
     keys = ["job_id", "channel_chat_id"]
-    first = candidates.groupBy(*keys).agg(F.min(F.struct("published_at", "id")).alias("_first"))
-    kept = candidates.join(first, keys).where(F.struct("published_at", "id") == F.col("_first")).drop("_first")
-    return kept.join(posts.select(*keys), keys, "left_anti").select(*candidates.columns)
+    rest = [c for c in candidates.columns if c not in keys]
+    order = F.struct(*(y for c in ("published_at", "id") for y in (F.col(c).isNull(), F.col(c))))
+    first = candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(*keys, "_first.*")
+    return first.join(posts.select(*keys), keys, "left_anti").select(*candidates.columns)
 
 
 def mark_published(jobs: DataFrame, posts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.decoding import decode_accumulating
-from postmill.operators.publication import find_by_id, ready_for_publication
+from postmill.operators.publication import find_by_id, new_posts, ready_for_publication
 from postmill.schemas import ATTEMPTS, CHANNEL_POSTS, JOBS, RAW_JOB
 from postmill.sources.messages import encode_raw, kafka_options, run_decoding, sink_options
 from postmill.sources.tables import by_location, ready_from_clustered, write_clustered
@@ -29,6 +29,15 @@ def jobs(spark, n):
     return spark.range(n).withColumnRenamed("id", "i").select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
 
+def test_posts_that_repeat_in_all_columns_are_added_once(spark):
+    at = lambda d: dt.datetime(2026, 3, d)
+    schema = "id string, job_id long, channel_chat_id string, published_at timestamp"
+    rows = [("1-2", 1, "R", at(2)), ("1-2", 1, "R", at(2)), ("1-3", 1, "R", at(2)), ("1-1", 1, "R", None), ("2-2", 2, "R", at(1)), ("3-2", None, "R", at(1)), ("4-2", 4, "A", None), ("4-2", 4, "A", None)]
+    posts = spark.createDataFrame([("2-1", 2, "R", at(3)), ("9-1", None, "R", at(1))], schema)
+    added = new_posts(posts, spark.createDataFrame(rows, schema)).collect()
+    assert sorted(added, key=lambda r: r.id) == [rows[0], rows[5], rows[6]]
+
+
 def scanned(df):
     """(rows, files) that the file scans of a query read."""
     df.collect()
