@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.contacts import phone_digits
-from ..functions.text import contains_any, contains_cyrillic, escape_attribute, escape_html, let, trim_control, utf16_length
+from ..functions.text import contains_any, contains_cyrillic, escape_attribute, escape_html, let, mapped, one_blank, trim_control, utf16_length
 
 LIMIT = 1024
 # Labels, and what says nothing by itself in a contact or additional line.
@@ -24,7 +24,7 @@ BLOCK = "struct<lines:array<string>,plain:array<string>,partial:boolean>"
 
 def tidy(c: Column) -> Column:
     """Blanks collapsed and decoration in front removed."""
-    plain = trim_control(F.regexp_replace(F.translate(c, "\u00a0\u200b", "  "), r"\s+", " "))
+    plain = trim_control(one_blank(mapped(c, "\u00a0\u200b", "  ")))
     return trim_control(F.regexp_replace(plain, PREFIX, ""))
 
 
@@ -34,7 +34,7 @@ def meaningful(c: Column) -> Column:
 
 
 def plainest(line: Column) -> Column:
-    return trim_control(F.regexp_replace(F.lower(line), r"\s+", " "))
+    return trim_control(one_blank(F.lower(line)))
 
 
 def known(phone: Column, user: Column, link: Column):
@@ -149,7 +149,7 @@ def render(footer: str | None = None) -> Column:
     label = lambda k: F.when(cyrillic, CYRILLIC[k]).otherwise(LATIN[k])
     listed = lambda x: F.coalesce(c(x), F.array().cast("array<string>"))
     phone, user, link = listed("contact_phone_numbers"), listed("contact_telegram_usernames"), listed("contact_links")
-    head = trim_control(F.regexp_replace(F.translate(c("title"), "\u00a0\u200b", "  "), r"\s+", " "))
+    head = trim_control(one_blank(mapped(c("title"), "\u00a0\u200b", "  ")))
     blocks = F.array(
         F.when(head != "", block(F.array(F.concat(F.lit("🔥 <b>"), escape_html(head), F.lit("</b>"))), F.array(F.concat(F.lit("🔥 "), head)), False)),
         fields([("🏢", label("company"), c("company")), ("💸", label("salary"), c("salary")), ("📍", label("location"), c("location")), ("🕒", label("work_schedule"), c("work_schedule"))]),
